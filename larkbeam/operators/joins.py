@@ -121,42 +121,50 @@ def _cells(start: Column, end: Column) -> Column:
     return F.sequence(_cell(start), _cell(end))
 
 
-def count_in_range(
+def sum_in_range(
     marks: DataFrame,
     points: DataFrame,
     on: Sequence[str],
     mark_id: str,
-    start: str,
-    end: str,
+    start: Column,
+    end: Column,
     at: str,
-    name: str,
+    sums: Mapping[str, Column],
     rows_per_group: int = ROWS_PER_GROUP,
 ) -> DataFrame:
-    """For each row of ``marks``, how many points have ``start <= at < end``.
+    """For each row of ``marks``, sums over the points with ``start <= at < end``.
 
-    Takes the running count of points at both ends of the range instead of
-    pairing points with ranges, so the work is that of one sort however many
-    points fall into each range. ``mark_id`` must be unique in ``marks``, and
-    its ranges must not be null.
+    Takes the running sums at both ends of the range instead of pairing points
+    with ranges, so the work is that of one sort however many points fall into
+    each range. Give exact types, as sums are subtracted. ``mark_id`` must be
+    unique in ``marks``, and its ranges must not be null. A point in no range
+    is left out; a mark without points gets zeros.
     """
     keyed = points.dropna(subset=[*on, at])
-    point = keyed.select(*on, F.col(at).alias("_when"), F.lit(1).alias("_side"), F.lit(1).alias("_one"))
-    ends = marks.select(
+    point = keyed.select(
         *on,
-        mark_id,
-        F.explode(
-            F.array(
-                F.struct(F.col(start).alias("_when"), F.lit(-1).alias("_sign")),
-                F.struct(F.col(end).alias("_when"), F.lit(1).alias("_sign")),
-            )
-        ).alias("_end"),
-    ).select(*on, mark_id, "_end.*", F.lit(0).alias("_side"))
+        F.col(at).alias("_when"),
+        F.lit(1).alias("_side"),
+        *[value.alias(name) for name, value in sums.items()],
+    )
+    both_ends = F.array(
+        F.struct(start.alias("_when"), F.lit(-1).alias("_sign")),
+        F.struct(end.alias("_when"), F.lit(1).alias("_sign")),
+    )
+    ends = marks.select(*on, mark_id, F.explode(both_ends).alias("_end")).select(
+        *on, mark_id, "_end.*", F.lit(0).alias("_side")
+    )
     both = point.unionByName(ends, allowMissingColumns=True)
     hot = hot_groups(both.select(*on), on, rows_per_group)
-    before = F.coalesce("_one", F.lit(0)).cast("bigint")
-    counted = running(both, on, ["_when", "_side"], {"_before": ("sum", before)}, hot)
-    return (
-        counted.where(F.col("_side") == 0)
-        .groupBy(mark_id)
-        .agg(F.sum(F.col("_sign") * F.col("_before")).alias(name))
+    before = {f"_to_{name}": ("sum", F.col(name)) for name in sums}
+    summed = running(both, on, ["_when", "_side"], before, hot).where(F.col("_side") == 0)
+    signed = {
+        name: F.when(F.col("_sign") > 0, F.col(f"_to_{name}")).otherwise(-F.col(f"_to_{name}"))
+        for name in sums
+    }
+    return summed.groupBy(mark_id).agg(
+        *[
+            F.coalesce(F.sum(value), F.lit(0)).cast(summed.schema[f"_to_{name}"].dataType).alias(name)
+            for name, value in signed.items()
+        ]
     )

@@ -113,6 +113,9 @@ def _segment_starts(
     )
 
 
+_RANKS = ["rank", "dense_rank", "percent_rank", "cume_dist"]
+
+
 def row_numbers(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, hot: HotGroups | None = None
 ) -> DataFrame:
@@ -121,6 +124,50 @@ def row_numbers(
     return running(df, keys, order, {name: ("sum", one)}, hot)
 
 
+def ranks(
+    df: DataFrame, keys: Sequence[str], value: str, tie: str, hot: HotGroups | None = None
+) -> DataFrame:
+    """Add the ranks of ``value`` in its group, ascending, equal values sharing a rank.
+
+    The columns are ``rank``, ``dense_rank``, ``percent_rank`` and
+    ``cume_dist``. In hot groups they are worked out on counted values, of
+    which there is one row however many rows share a value. ``tie`` is a
+    number that differs between rows; it does not change the ranks.
+    """
+    if hot is None:
+        window = Window.partitionBy(*keys).orderBy(value)
+        return df.select(
+            "*",
+            F.rank().over(window).cast("bigint").alias("rank"),
+            F.dense_rank().over(window).cast("bigint").alias("dense_rank"),
+            F.percent_rank().over(window).alias("percent_rank"),
+            F.cume_dist().over(window).alias("cume_dist"),
+        )
+    by = [*keys, value]
+    values = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    one = F.lit(1).cast("bigint")
+    columns = {
+        "_upto": ("sum", F.col("_n")),
+        "dense_rank": ("sum", one),
+        "_all": ("total", F.col("_n")),
+    }
+    placed = running(values, keys, [value], columns, hot)
+    first = F.col("_upto") - F.col("_n")
+    ranked = placed.select(
+        *by,
+        (first + 1).alias("rank"),
+        "dense_rank",
+        F.when(F.col("_all") == 1, 0.0).otherwise(first / (F.col("_all") - 1)).alias("percent_rank"),
+        (F.col("_upto") / F.col("_all")).alias("cume_dist"),
+    )
+    found = F.struct(*[ranked[c] for c in _RANKS]).alias("_ranks")
+    # a value's ranks sort before the rows that have it, which are cut by their tie
+    both = df.unionByName(ranked.select(*by, found), allowMissingColumns=True)
+    looked = running(both, keys, [value, tie], {"_own": ("last", F.col("_ranks"))}, hot)
+    rows = looked.where(F.col("_ranks").isNull())
+    return rows.select(*df.columns, *[F.col("_own")[c].alias(c) for c in _RANKS])
+
+
 def framed(
     df: DataFrame,
     keys: Sequence[str],
@@ -156,3 +203,14 @@ def framed(
     window = Window.partitionBy(*keys, "_block").orderBy("_rn")
     done = copies.withColumns(dict(build(window)))
     return done.where(F.col("_home") == F.col("_block")).drop("_home", "_block", "_rn")
+
+
+def ntile(parts: int, position: Column, size: Column) -> Column:
+    """The tile of a row from its position and the size of its group."""
+    small, larger = F.floor(size / parts), size % parts
+    in_larger = larger * (small + 1)
+    return (
+        F.when(position <= in_larger, F.floor((position - 1) / (small + 1)) + 1)
+        .otherwise(larger + F.floor((position - 1 - in_larger) / F.greatest(small, F.lit(1))) + 1)
+        .cast("int")
+    )

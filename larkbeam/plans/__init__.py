@@ -6,6 +6,6 @@ from larkbeam.plans.registry import QUERIES, Query
 
 
 def all_queries() -> dict[str, Query]:
-    from larkbeam.plans import star  # noqa: F401
+    from larkbeam.plans import aggregates, joins, sets, star, windows  # noqa: F401
 
     return dict(QUERIES)

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkbeam.operators.skew import hot_groups, segmented
-from larkbeam.operators.windows import framed, row_numbers, running
+from larkbeam.operators.windows import framed, ntile, ranks, row_numbers, running
 
 
 def skewed(spark, n=2000):
@@ -96,3 +96,22 @@ def test_row_numbers_match_the_window_function(spark):
     ours = row_numbers(df, ["g"], ["x", "row"], "n", hot_groups(df, ["g"], 30))
     theirs = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("x", "row")))
     assert bag(ours) == bag(theirs.withColumn("n", F.col("n").cast("bigint")))
+
+
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_ranks_in_pieces(spark, keys):
+    df = skewed(spark)
+    cut = ranks(df, keys, "x", "row", hot_groups(df, keys, 60))
+    plain = ranks(df, keys, "x", "row")
+    assert cut.dtypes == plain.dtypes
+    assert bag(cut) == bag(plain)
+
+
+def test_ntile(spark):
+    w = Window.partitionBy("g").orderBy("row")
+    df = skewed(spark, 300).withColumn("want", F.ntile(4).over(w))
+    df = df.union(df.where("row < 5").withColumn("g", F.lit(99)).withColumn("want", F.lit(None)))
+    df = df.withColumn("want", F.ntile(4).over(w))
+    columns = {"p": ("sum", F.lit(1)), "size": ("total", F.lit(1))}
+    got = running(df, ["g"], ["row"], columns).withColumn("got", ntile(4, F.col("p"), F.col("size")))
+    assert got.where("got IS DISTINCT FROM want").count() == 0
