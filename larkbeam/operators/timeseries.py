@@ -69,9 +69,9 @@ def fill_gaps(
     span = panes.groupBy(*keys).agg(
         F.sequence(wall_micros(F.min(at)), wall_micros(F.max(at)), step).alias("_all")
     )
-    empty = span.select(
+    empty = span.select(*keys, F.explode("_all").alias("_at")).select(
         *keys,
-        _wall(F.explode("_all")).alias(at),
+        _wall(F.col("_at")).alias(at),
         *[F.lit(0).cast(panes.schema[c].dataType).alias(c) for c in zeros],
     )
     both = panes.select(*keys, at, *zeros).unionByName(empty)

@@ -6,6 +6,17 @@ from larkbeam.plans.registry import QUERIES, Query
 
 
 def all_queries() -> dict[str, Query]:
-    from larkbeam.plans import aggregates, joins, sets, star, windows  # noqa: F401
+    from larkbeam.plans import (  # noqa: F401
+        aggregates,
+        joins,
+        python_functions,
+        scalars,
+        sets,
+        sources,
+        star,
+        streams,
+        timeseries,
+        windows,
+    )
 
     return dict(QUERIES)
