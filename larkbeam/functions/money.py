@@ -1,23 +1,39 @@
 """Exact money: sums that do not depend on the order of addition.
 
 A sum of doubles changes with the partitioning and with retried tasks, and
-loses cents once it is large. Amounts are cents, so decimals hold them.
+loses cents once it is large. Amounts here are whole cents held in doubles, so
+they are turned into whole numbers, which is much cheaper than casting a double
+to a decimal, and summed as decimals, which do not overflow.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def money(name: str) -> Column:
-    return F.col(name).cast("decimal(12,2)")
+def hundredths(name: str) -> Column:
+    """Cents of an amount, or percent of a rate, as a whole number."""
+    return F.rint(F.col(name) * 100).cast("bigint")
 
 
-def rate(name: str) -> Column:
-    return F.col(name).cast("decimal(3,2)")
+def scaled(units: Column, digits: int, scale: int) -> Column:
+    """Whole units of ``10 ** -scale``, of at most ``digits`` digits, as a decimal."""
+    return units.cast(f"decimal({digits},0)") * F.lit(Decimal(1).scaleb(-scale))
+
+
+def money(name: str) -> Column:
+    return scaled(hundredths(name), 15, 2)
 
 
 def revenue() -> Column:
     """Discounted price of a line."""
-    return money("l_extendedprice") * (F.lit(1).cast("decimal(3,2)") - rate("l_discount"))
+    return scaled(hundredths("l_extendedprice") * (100 - hundredths("l_discount")), 13, 4)
+
+
+def taxed_revenue() -> Column:
+    """Discounted price of a line with tax."""
+    factors = (100 - hundredths("l_discount")) * (100 + hundredths("l_tax"))
+    return scaled(hundredths("l_extendedprice") * factors, 13, 6)

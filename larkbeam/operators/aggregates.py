@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkbeam.operators.skew import ROWS_PER_GROUP, hot_groups
+from larkbeam.operators.skew import ROWS_PER_GROUP, settled
 from larkbeam.operators.windows import running
 
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -26,8 +26,9 @@ def percentiles(
     task's memory. Here values are counted first, and running counts show
     which value holds each wanted position.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    hot = hot_groups(counts, keys, rows_per_group)
+    present = df.where(F.col(value).isNotNull())
+    counts = present.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counts, hot = settled(df, counts, keys, rows_per_group)
     placed = running(
         counts, keys, [value], {"_upto": ("sum", F.col("_n")), "_all": ("total", F.col("_n"))}, hot
     )

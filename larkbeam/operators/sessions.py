@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkbeam.functions.times import MICROS_PER_SECOND, wall_micros
-from larkbeam.operators.skew import ROWS_PER_GROUP, hot_groups
+from larkbeam.operators.skew import ROWS_PER_GROUP, settled
 from larkbeam.operators.windows import framed, running
 
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -40,7 +40,7 @@ def sessions(
             *[_MERGE[kind](value).alias(name) for name, (kind, value) in measures.items()],
         )
     )
-    hot = hot_groups(slots.select(*keys), keys, rows_per_group)
+    slots, hot = settled(df, slots, keys, rows_per_group)
     gap = wall_micros(F.col("session_start")) - wall_micros(F.col("_previous"))
     starts = F.when(gap <= longest, 0).otherwise(1)
     order = ["_slot"]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkbeam.functions.times import wall_micros
+from larkbeam.sources.files import rewritten
 
 ROWS_PER_GROUP = 5_000_000
 MAX_HOT_GROUPS = 100_000
@@ -69,6 +70,20 @@ def hot_groups(
     return HotGroups(hot, largest, segments, rows_per_group)
 
 
+def settled(
+    source: DataFrame, derived: DataFrame, keys: Sequence[str], rows_per_group: int
+) -> tuple[DataFrame, HotGroups | None]:
+    """``derived``, which has no more rows than ``source``, and its hot groups.
+
+    Looking for hot groups and cutting them reads a table several times. So a
+    derived table that may have hot groups is written once and read from there.
+    """
+    if source.count() <= rows_per_group:
+        return derived, None
+    stored = rewritten(derived, name="settled")
+    return stored, hot_groups(stored, keys, rows_per_group)
+
+
 def flag_hot(df: DataFrame, keys: Sequence[str], hot: HotGroups) -> DataFrame:
     """``df`` with a boolean ``_hot``. Null keys form a group like any other."""
     if hot.keys is None:

@@ -11,6 +11,8 @@ from larkbeam.functions.times import MICROS_PER_SECOND, wall_micros
 
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
+PANES_PER_TASK = 10_000
+
 Measures = Mapping[str, tuple[str, Column]]
 
 
@@ -64,12 +66,20 @@ def sliding(
 def fill_gaps(
     panes: DataFrame, keys: Sequence[str], at: str, seconds: int, zeros: Sequence[str]
 ) -> DataFrame:
-    """Panes with zeros added for those missing between the first and last of each key."""
-    step = F.lit(seconds * MICROS_PER_SECOND)
-    span = panes.groupBy(*keys).agg(
-        F.sequence(wall_micros(F.min(at)), wall_micros(F.max(at)), step).alias("_all")
+    """Panes with zeros added for those missing between the first and last of each key.
+
+    The panes of a long span are made in two steps, so that no row holds the
+    whole span, and by as many tasks as there are stretches.
+    """
+    step = seconds * MICROS_PER_SECOND
+    stretch = PANES_PER_TASK * step
+    spans = panes.groupBy(*keys).agg(
+        wall_micros(F.min(at)).alias("_first"), wall_micros(F.max(at)).alias("_last")
     )
-    empty = span.select(*keys, F.explode("_all").alias("_at")).select(
+    stretches = spans.withColumn("_from", F.explode(F.sequence("_first", "_last", F.lit(stretch))))
+    upto = F.least(F.col("_last"), F.col("_from") + stretch - step)
+    spread = stretches.repartition(*keys, "_from")
+    empty = spread.select(*keys, F.explode(F.sequence("_from", upto, F.lit(step))).alias("_at")).select(
         *keys,
         _wall(F.col("_at")).alias(at),
         *[F.lit(0).cast(panes.schema[c].dataType).alias(c) for c in zeros],

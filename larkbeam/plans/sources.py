@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkbeam.functions.money import money, revenue
 from larkbeam.plans.registry import query
 from larkbeam.plans.star import REVENUE
-from larkbeam.sources.files import bucketed, rewritten
+from larkbeam.sources.files import bucket_count, bucketed, rewritten
 from larkbeam.sources.tables import SCHEMAS, table
 
 _ORDERS = """
@@ -67,17 +67,19 @@ def two_years_of_a_partitioned_table(spark: SparkSession, d: str) -> DataFrame:
     """,
 )
 def join_of_bucketed_tables(spark: SparkSession, d: str) -> DataFrame:
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    orders = bucketed(
-        table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", buckets, "orders"
-    )
-    lines = bucketed(
-        table(spark, d, "lineitem").select("l_orderkey", "l_quantity"), "l_orderkey", buckets, "lineitem"
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    # one row per order on both sides, so no bucket holds much more than the others
+    per_order = (
+        table(spark, d, "lineitem")
+        .groupBy("l_orderkey")
+        .agg(F.count("*").alias("n_lines"), F.sum(money("l_quantity")).alias("quantity"))
     )
-    per_order = lines.groupBy("l_orderkey").agg(
-        F.count("*").alias("n_lines"), F.sum(money("l_quantity")).cast("double").alias("quantity")
+    buckets = bucket_count(orders.count())
+    stored = bucketed(orders, "o_orderkey", buckets, "orders")
+    sums = bucketed(per_order, "l_orderkey", buckets, "lines_per_order")
+    return stored.join(sums, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        "o_orderkey", "o_custkey", "n_lines", F.col("quantity").cast("double").alias("quantity")
     )
-    return orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
 
 
 @query(

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkbeam.functions.money import money, rate, revenue
+from larkbeam.functions.money import hundredths, money, revenue, scaled, taxed_revenue
 from larkbeam.plans.registry import query
 from larkbeam.sources.tables import table
 
@@ -89,7 +89,6 @@ def revenue_by_region(spark: SparkSession, d: str) -> DataFrame:
     """,
 )
 def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
-    taxed = revenue() * (F.lit(1).cast("decimal(3,2)") + rate("l_tax"))
     sums = (
         table(spark, d, "lineitem")
         .where(F.col("l_shipdate") <= _day("2001-09-02"))
@@ -98,8 +97,8 @@ def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
             _amount(money("l_quantity")).alias("sum_qty"),
             _amount(money("l_extendedprice")).alias("sum_base_price"),
             _amount(revenue()).alias("sum_disc_price"),
-            _amount(taxed).alias("sum_charge"),
-            _amount(rate("l_discount")).alias("sum_disc"),
+            _amount(taxed_revenue()).alias("sum_charge"),
+            (F.sum(hundredths("l_discount")) / 100).alias("sum_disc"),
             F.count("*").alias("count_order"),
         )
     )
@@ -215,9 +214,10 @@ def discount_forecast(spark: SparkSession, d: str) -> DataFrame:
         (F.col("l_shipdate") >= _day("1997-01-01"))
         & (F.col("l_shipdate") < _day("1998-01-01"))
         & (F.col("l_quantity") < 24)
-        & rate("l_discount").between("0.05", "0.07")
+        & F.col("l_discount").between(0.045, 0.075)  # 0.05 to 0.07, in whole hundredths
     )
-    return lines.agg(_amount(money("l_extendedprice") * rate("l_discount")).alias("revenue"))
+    saved = scaled(hundredths("l_extendedprice") * hundredths("l_discount"), 13, 4)
+    return lines.agg(_amount(saved).alias("revenue"))
 
 
 @query(

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from larkbeam.functions.money import money
 from larkbeam.functions.times import utc_wall
 from larkbeam.plans.registry import query
+from larkbeam.session import setting
 from larkbeam.sources.tables import table
 from larkbeam.streaming.jobs import drained, event_stream
 from larkbeam.streaming.totals import merge_shards, totals_per_window
 
 VALUE = "CAST(value AS DECIMAL(12,2))"
-TYPES = ["click", "error", "purchase", "signup", "view"]
 _CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
 
 
@@ -92,7 +92,9 @@ def user_sessions(spark: SparkSession, d: str) -> DataFrame:
         .groupBy("user_id", F.session_window("ts", "6 hours"))
         .agg(F.count("*").alias("n"), _total(), F.max("ts").alias("last_event"))
     )
-    rows = drained(windows, "sessions")
+    # rows of a session are merged before the shuffle, as one user may have very many
+    with setting(spark, "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"):
+        rows = drained(windows, "sessions")
     return rows.select(
         "user_id",
         utc_wall(F.col("session_window.start")).alias("session_start"),
@@ -170,20 +172,22 @@ def errors_after_purchase(spark: SparkSession, d: str) -> DataFrame:
     "stream_own_state",
     f"""
     SELECT * FROM (
-      SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY AS window_end,
-        count(*) AS n, CAST(sum(round(value * 100)) AS BIGINT) AS cents,
-        CAST(count(DISTINCT event_type) AS INTEGER) AS n_types
+      SELECT event_type, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 12 HOUR
+          AS window_end, count(*) AS n, CAST(sum(round(value * 100)) AS BIGINT) AS cents,
+        CAST(max(round(value * 100)) AS BIGINT) AS top_cents,
+        CAST(count(DISTINCT hour(ts)) AS INTEGER) AS busy_hours
       FROM events GROUP BY ALL)
     WHERE window_end <= {_CLOSED}
     """,
 )
-def totals_per_user_and_day(spark: SparkSession, d: str) -> DataFrame:
-    parts = totals_per_window(event_stream(spark, d), "1 day", "1 hour", TYPES, shards=4)
-    totals = merge_shards(drained(parts, "totals"))
+def totals_in_own_state(spark: SparkSession, d: str) -> DataFrame:
+    parts = totals_per_window(event_stream(spark, d), "event_type", "12 hours", "1 hour", shards=4)
+    totals = merge_shards(drained(parts, "totals"), "event_type")
     return totals.select(
-        "user_id",
+        "event_type",
         utc_wall(F.col("window_end")).alias("window_end"),
         "n",
         "cents",
-        F.bit_count("kinds").alias("n_types"),
+        "top_cents",
+        F.bit_count("hours").alias("busy_hours"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -42,3 +44,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError(f"set {_CHECKPOINT_DIR} to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="larkbeam-")
     return f"{base.rstrip('/')}/larkbeam/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for as long as the block runs."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)

@@ -49,12 +49,17 @@ def rewritten(
     return read(spark, path, form, df.schema)
 
 
+def bucket_count(rows: int) -> int:
+    """Buckets of some two million rows each."""
+    return min(20_000, max(8, rows // 2_000_000))
+
+
 def bucketed(df: DataFrame, key: str, buckets: int, name: str = "bucketed") -> DataFrame:
     """``df`` as a table bucketed and sorted by ``key``.
 
     Tables with equal bucket counts join and aggregate on the key without a
-    shuffle. The rows are shuffled once to the buckets, so each bucket gets
-    one file. Take a count at which a bucket suits a task.
+    shuffle. A bucket is read by one task, so the key should be unique or
+    nearly so: aggregate or salt a table with hot keys first.
     """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"

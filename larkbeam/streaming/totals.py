@@ -4,68 +4,63 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-_OUTPUT = "user_id bigint, window_end timestamp, shard int, n bigint, cents bigint, kinds int"
-_STATE = "n bigint, cents bigint, kinds int"
+from larkbeam.functions.times import utc_wall
 
+_STATE = "n bigint, cents bigint, top_cents bigint, hours int"
 
-def _add(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    user, window_end, shard = key
-    n, cents, kinds = state.get if state.exists else (0, 0, 0)
+
+def _add(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    name, window_end, shard = key
+    n, cents, top, hours = state.get if state.exists else (0, 0, 0, 0)
     if state.hasTimedOut:
         state.remove()
-        yield pd.DataFrame(
-            {
-                "user_id": [user],
-                "window_end": [window_end],
-                "shard": [shard],
-                "n": [n],
-                "cents": [cents],
-                "kinds": [kinds],
-            }
-        )
+        row = (name, window_end, shard, n, cents, top, hours)
+        names = ["key", "window_end", "shard", "n", "cents", "top_cents", "hours"]
+        yield pd.DataFrame([row], columns=names)
         return
     for batch in batches:
         n += len(batch)
         cents += int(batch["cents"].sum())
-        for bit in batch["bit"].unique():
-            kinds |= int(bit)
-    state.update((n, cents, kinds))
+        top = max(top, int(batch["cents"].max()))
+        hours |= int(np.bitwise_or.reduce(batch["hour_bit"].to_numpy()))
+    state.update((n, cents, top, hours))
     state.setTimeoutTimestamp(int(window_end.timestamp() * 1000))
 
 
 def totals_per_window(
-    events: DataFrame, window: str, delay: str, types: list[str], shards: int
+    events: DataFrame, key: str, window: str, delay: str, shards: int
 ) -> DataFrame:
-    """Count, cents and event types per user and window, once the window is over.
+    """Count, cents, top value and busy hours per key and window, once it is over.
 
-    The state of a user and window is kept in ``shards`` parts, so that a user
-    with much of the stream does not load one task. ``merge_shards`` joins the
-    parts. The state is a few numbers however many rows there are.
+    The state of a key and window is kept in ``shards`` parts, so that a key
+    with much of the stream does not load one task; ``merge_shards`` joins the
+    parts. The state is a few numbers however many rows there are, and rows are
+    taken in batch by batch.
     """
-    bit = F.lit(0)
-    for i, name in enumerate(types):
-        bit = F.when(F.col("event_type") == name, 1 << i).otherwise(bit)
     rows = events.withWatermark("ts", delay).select(
-        "user_id",
+        F.col(key).alias("key"),
         F.window("ts", window)["end"].alias("window_end"),
         F.pmod("event_id", F.lit(shards)).cast("int").alias("shard"),
         F.round(F.col("value") * 100).cast("bigint").alias("cents"),
-        bit.alias("bit"),
+        F.call_function("shiftleft", F.lit(1), F.hour(utc_wall(F.col("ts")))).alias("hour_bit"),
         "ts",
     )
-    return rows.groupBy("user_id", "window_end", "shard").applyInPandasWithState(
-        _add, _OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+    output = f"key {events.schema[key].dataType.simpleString()}, window_end timestamp, shard int, {_STATE}"
+    return rows.groupBy("key", "window_end", "shard").applyInPandasWithState(
+        _add, output, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def merge_shards(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("user_id", "window_end").agg(
-        F.sum("n").alias("n"), F.sum("cents").alias("cents"), F.bit_or("kinds").alias("kinds")
+def merge_shards(parts: DataFrame, key: str) -> DataFrame:
+    return parts.groupBy(F.col("key").alias(key), "window_end").agg(
+        F.sum("n").alias("n"),
+        F.sum("cents").alias("cents"),
+        F.max("top_cents").alias("top_cents"),
+        F.bit_or("hours").alias("hours"),
     )
