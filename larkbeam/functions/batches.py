@@ -10,21 +10,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+# types as objects: a type in text needs a session when the module is imported
+_WORD = T.StructType().add("position", T.IntegerType()).add("word", T.StringType())
 
-@F.pandas_udf("double")
+
+@F.pandas_udf(T.DoubleType())
 def compound(amount: pd.Series, rate: pd.Series, years: pd.Series) -> pd.Series:
     """An amount after some years of interest."""
     return amount * np.power(1 + rate, years)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def title(text: pa.Array) -> pa.Array:
     """Each word with a capital first letter."""
     return pc.utf8_title(text)
 
 
-@F.udtf(returnType="position int, word string", useArrow=True)
+@F.udtf(returnType=_WORD, useArrow=True)
 class Words:
     """The words of a text, in order."""
 

@@ -30,7 +30,7 @@ def _add(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iter
         top = max(top, int(batch["cents"].max()))
         hours |= int(np.bitwise_or.reduce(batch["hour_bit"].to_numpy()))
     state.update((n, cents, top, hours))
-    state.setTimeoutTimestamp(int(window_end.timestamp() * 1000))
+    state.setTimeoutTimestamp(int(window_end))
 
 
 def totals_per_window(
@@ -45,20 +45,21 @@ def totals_per_window(
     """
     rows = events.withWatermark("ts", delay).select(
         F.col(key).alias("key"),
-        F.window("ts", window)["end"].alias("window_end"),
+        F.unix_millis(F.window("ts", window)["end"]).alias("window_end"),
         F.pmod("event_id", F.lit(shards)).cast("int").alias("shard"),
         F.round(F.col("value") * 100).cast("bigint").alias("cents"),
         F.call_function("shiftleft", F.lit(1), F.hour(utc_wall(F.col("ts")))).alias("hour_bit"),
         "ts",
     )
-    output = f"key {events.schema[key].dataType.simpleString()}, window_end timestamp, shard int, {_STATE}"
+    output = f"key {events.schema[key].dataType.simpleString()}, window_end bigint, shard int, {_STATE}"
     return rows.groupBy("key", "window_end", "shard").applyInPandasWithState(
         _add, output, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def merge_shards(parts: DataFrame, key: str) -> DataFrame:
-    return parts.groupBy(F.col("key").alias(key), "window_end").agg(
+    window_end = F.timestamp_millis("window_end").alias("window_end")
+    return parts.groupBy(F.col("key").alias(key), window_end).agg(
         F.sum("n").alias("n"),
         F.sum("cents").alias("cents"),
         F.max("top_cents").alias("top_cents"),
