@@ -17,12 +17,16 @@ def wall_micros(ts: Column) -> Column:
     return day * _MICROS_PER_DAY + of_day.cast("bigint") * MICROS_PER_SECOND + second
 
 
+def wall(micros: Column) -> Column:
+    """The zoneless timestamp of that many microseconds since 1970."""
+    return F.timestamp_add("MICROSECOND", micros, F.expr("TIMESTAMP_NTZ '1970-01-01'"))
+
+
 def utc_instant(ts: Column) -> Column:
     """A zoneless timestamp read as UTC; watermarks need an instant."""
-    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts)
-    return local.cast("timestamp")
+    return F.timestamp_micros(wall_micros(ts))
 
 
 def utc_wall(instant: Column) -> Column:
     """The zoneless UTC time of an instant: the inverse of ``utc_instant``."""
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+    return wall(F.unix_micros(instant))

@@ -31,7 +31,7 @@ def salted_join(
     hot = hot_groups(big, on, rows_per_group)
     if hot is None:
         return big.join(small, list(on), how)
-    salts = hot.pieces()
+    salts = hot.salts()
     # the same on a retried task; the partition number spreads equal rows
     spread = F.pmod(F.xxhash64(*big.columns) + F.spark_partition_id(), F.lit(salts))
     left = flag_hot(big, on, hot).withColumn(

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkbeam.functions.times import MICROS_PER_SECOND, wall_micros
-from larkbeam.operators.skew import ROWS_PER_GROUP, settled
+from larkbeam.operators.skew import ROWS_PER_GROUP, HotGroups, apart, settled
 from larkbeam.operators.windows import framed, running
+from larkbeam.sources.files import rewritten
 
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -43,12 +44,22 @@ def sessions(
     slots, hot = settled(df, slots, keys, rows_per_group)
     gap = wall_micros(F.col("session_start")) - wall_micros(F.col("_previous"))
     starts = F.when(gap <= longest, 0).otherwise(1)
-    order = ["_slot"]
-    linked = framed(
-        slots, keys, order, 1, 0, lambda w: {"_previous": F.lag("session_end").over(w)}, hot
-    )
-    numbered = running(linked, keys, order, {"session_no": ("sum", starts)}, hot)
-    merged = numbered.groupBy(*keys, "session_no").agg(
+
+    def numbered(part: DataFrame, hot: HotGroups | None) -> DataFrame:
+        linked = framed(
+            part, keys, ["_slot"], 1, 0, lambda w: {"_previous": F.lag("session_end").over(w)}, hot
+        )
+        if hot is not None:
+            linked = rewritten(linked, name="linked")
+        return running(linked, keys, ["_slot"], {"session_no": ("sum", starts)}, hot)
+
+    if hot is None:
+        parts = numbered(slots, None)
+    else:
+        cold, rows, hot = apart(slots, keys, hot)
+        parts = numbered(rows, hot)
+        parts = parts if cold is None else parts.unionByName(numbered(cold, None))
+    merged = parts.groupBy(*keys, "session_no").agg(
         F.min("session_start").alias("session_start"),
         F.max("session_end").alias("session_end"),
         *[

@@ -2,9 +2,9 @@
 
 A window or an ordered scan puts all rows of a group in one task. Where a
 group holds a large share of the table, that task decides the run time of the
-whole job. ``hot_groups`` finds such groups, and ``segmented`` cuts them into
-consecutive ranges of the ordering, each small enough for a task. Groups that
-are not hot stay whole, and a table without hot groups is not changed at all.
+whole job. ``hot_groups`` finds such groups, ``apart`` separates their rows from
+the others, and ``segmented`` cuts them into consecutive ranges of the ordering,
+each small enough for a task.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -32,16 +32,27 @@ _EXACT_IN_DOUBLE = 2**53
 
 @dataclass(frozen=True)
 class HotGroups:
-    """Groups over the limit. ``keys`` has at most ``MAX_HOT_GROUPS`` rows."""
+    """The groups over the limit.
+
+    ``keys`` has one row per hot group, at most ``MAX_HOT_GROUPS``; None means
+    that all groups are hot. ``rows`` is how many rows they have together, and
+    ``largest`` how many the largest one has.
+    """
 
     keys: DataFrame | None
+    rows: int
     largest: int
-    segments: int
     rows_per_group: int
 
-    def pieces(self) -> int:
-        """How many parts the largest group needs."""
-        return min(MAX_SEGMENTS, math.ceil(self.largest / self.rows_per_group))
+    def segments(self) -> int:
+        return _pieces(self.rows, self.rows_per_group)
+
+    def salts(self) -> int:
+        return _pieces(self.largest, self.rows_per_group)
+
+
+def _pieces(rows: int, rows_per_piece: int) -> int:
+    return max(2, min(MAX_SEGMENTS, math.ceil(rows / rows_per_piece)))
 
 
 def hot_groups(
@@ -58,16 +69,14 @@ def hot_groups(
     total = df.count()
     if total <= rows_per_group:
         return None
-    segments = max(2, min(MAX_SEGMENTS, math.ceil(total / rows_per_group)))
     if not keys:
-        return HotGroups(None, total, segments, rows_per_group)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_size"))
-    largest = sizes.agg(F.max("_size")).first()[0]
-    if largest <= rows_per_group:
-        return None
+        return HotGroups(None, total, total, rows_per_group)
     limit = max(rows_per_group, total // MAX_HOT_GROUPS)
-    hot = sizes.where(F.col("_size") > limit).select(*keys)
-    return HotGroups(hot, largest, segments, rows_per_group)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > limit)
+    # a small table, written so that the rows are counted only once
+    sizes = rewritten(sizes, name="hot")
+    rows, largest = sizes.agg(F.sum("_size"), F.max("_size")).first()
+    return HotGroups(sizes.select(*keys), rows, largest, rows_per_group) if rows else None
 
 
 def settled(
@@ -86,12 +95,27 @@ def settled(
 
 def flag_hot(df: DataFrame, keys: Sequence[str], hot: HotGroups) -> DataFrame:
     """``df`` with a boolean ``_hot``. Null keys form a group like any other."""
+    small, same = _hot_keys(keys, hot)
+    flagged = df.join(small.withColumn("_hot", F.lit(True)), same, "left")
+    return flagged.select(*df.columns, F.coalesce("_hot", F.lit(False)).alias("_hot"))
+
+
+def apart(
+    df: DataFrame, keys: Sequence[str], hot: HotGroups
+) -> tuple[DataFrame | None, DataFrame, HotGroups]:
+    """The rows of other groups, those of hot groups, and ``hot`` as it applies to the latter."""
     if hot.keys is None:
-        return df.withColumn("_hot", F.lit(True))
-    small = hot.keys.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
-    same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-    flagged = df.join(F.broadcast(small), same, "left").drop(*[f"_hot_{k}" for k in keys])
-    return flagged.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+        return None, df, hot
+    small, same = _hot_keys(keys, hot)
+    cold, rows = df.join(small, same, "left_anti"), df.join(small, same, "left_semi")
+    return cold, rows, replace(hot, keys=None)
+
+
+def _hot_keys(keys: Sequence[str], hot: HotGroups) -> tuple[DataFrame, list[Column]]:
+    names = [f"_hot_{k}" for k in keys]
+    small = hot.keys.select(*[F.col(k).alias(name) for k, name in zip(keys, names)])
+    same = [F.col(k).eqNullSafe(F.col(name)) for k, name in zip(keys, names)]
+    return F.broadcast(small), same
 
 
 def ordering(order: Sequence[str]) -> list[Column]:
@@ -99,18 +123,18 @@ def ordering(order: Sequence[str]) -> list[Column]:
     return [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order]
 
 
-def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: HotGroups) -> DataFrame:
-    """``df`` with ``_seg``: 0 outside hot groups, from 1 up inside them.
+def segmented(df: DataFrame, order: Sequence[str], hot: HotGroups) -> DataFrame:
+    """Rows of hot groups with ``_seg``, which rises with the order.
 
-    Within a group, rows of a lower segment sort before those of a higher one.
-    The cuts are quantiles of the first ordering column over the whole table,
-    so no segment of any group has much more than ``rows_per_group`` rows. A
-    value so frequent that it fills a segment alone is cut again by the second
-    ordering column. Both columns must be numbers, dates or times.
+    The cuts are quantiles of the first ordering column over all the rows, so
+    no segment has much more than ``rows_per_group`` of them. A value so
+    frequent that it fills a segment alone is cut again by the second ordering
+    column. Both columns must be numbers, dates or times.
     """
     first = order[0].lstrip("-")
+    segments = hot.segments()
     placed = df.withColumn("_at", as_number(df, first))
-    splits, weights = _cuts(placed, "_at", hot.segments)
+    splits, weights = _cuts(placed, "_at", segments)
     placed, segment = _bucket(placed, "_at", splits, order[0].startswith("-"))
     if len(order) > 1 and weights and _equal_if_same_number(df, first):
         second = order[1].lstrip("-")
@@ -118,15 +142,13 @@ def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: Hot
         weight = by_bucket[F.col("_bucket_at").cast("int")]
         placed = placed.withColumn("_weight", weight).withColumn("_then", as_number(df, second))
         in_tie = F.col("_weight") > 0
-        then_splits, _ = _cuts(placed.where(in_tie), "_then", hot.segments)
+        then_splits, _ = _cuts(placed.where(in_tie), "_then", segments)
         placed, then = _bucket(placed, "_then", then_splits, order[1].startswith("-"))
         # as many parts as the value fills segments, so their number stays in proportion
         part = F.floor(then * F.col("_weight") / len(then_splits))
-        segment = segment * (hot.segments + 1) + F.when(in_tie, part).otherwise(0)
-    flagged = flag_hot(placed, keys, hot)
-    segment = F.when(F.col("_hot"), segment + 1).otherwise(0).cast("bigint")
-    return flagged.withColumn("_seg", segment).drop(
-        "_hot", "_at", "_bucket_at", "_weight", "_then", "_bucket_then"
+        segment = segment * (segments + 1) + F.when(in_tie, part).otherwise(0)
+    return placed.withColumn("_seg", segment).drop(
+        "_at", "_bucket_at", "_weight", "_then", "_bucket_then"
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkbeam.functions.times import MICROS_PER_SECOND, wall_micros
+from larkbeam.functions.times import MICROS_PER_SECOND, wall, wall_micros
 
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -19,12 +19,7 @@ Measures = Mapping[str, tuple[str, Column]]
 def pane(at: Column, seconds: int) -> Column:
     """Start of the slot of that length that a zoneless time lies in."""
     micros = wall_micros(at)
-    return _wall(micros - F.pmod(micros, F.lit(seconds * MICROS_PER_SECOND)))
-
-
-def _wall(micros: Column) -> Column:
-    instant = F.timestamp_micros(micros)
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+    return wall(micros - F.pmod(micros, F.lit(seconds * MICROS_PER_SECOND)))
 
 
 def tumbling(
@@ -55,7 +50,7 @@ def sliding(
     step = F.lit(slide_seconds * MICROS_PER_SECOND)
     first = start - (seconds - slide_seconds) * MICROS_PER_SECOND
     copies = panes.withColumn("_start", F.explode(F.sequence(first, start, step)))
-    return copies.groupBy(*keys, _wall(F.col("_start")).alias("window_start")).agg(
+    return copies.groupBy(*keys, wall(F.col("_start")).alias("window_start")).agg(
         *[
             _MERGE[kind](name).cast(panes.schema[name].dataType).alias(name)
             for name, (kind, _) in measures.items()
@@ -81,7 +76,7 @@ def fill_gaps(
     spread = stretches.repartition(*keys, "_from")
     empty = spread.select(*keys, F.explode(F.sequence("_from", upto, F.lit(step))).alias("_at")).select(
         *keys,
-        _wall(F.col("_at")).alias(at),
+        wall(F.col("_at")).alias(at),
         *[F.lit(0).cast(panes.schema[c].dataType).alias(c) for c in zeros],
     )
     both = panes.select(*keys, at, *zeros).unionByName(empty)

@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from larkbeam.operators.skew import HotGroups, ordering, segmented
+from larkbeam.operators.skew import HotGroups, apart, ordering, segmented
 
 _COMBINE: dict[str, Callable[[Column], Column]] = {
     "sum": F.sum,
@@ -43,24 +43,36 @@ def running(
     if hot is None:
         upto = Window.partitionBy(*keys).orderBy(*ordering(order))
         return df.select("*", *_aggregates(columns, upto, Window.partitionBy(*keys)))
+    cold, rows, hot = apart(df, keys, hot)
+    done = _running_in_pieces(rows, keys, order, columns, hot)
+    if cold is None:
+        return done
+    return running(cold, keys, order, columns).unionByName(done)
 
+
+def _running_in_pieces(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    columns: Mapping[str, tuple[str, Column]],
+    hot: HotGroups,
+) -> DataFrame:
     inputs = {f"_in_{name}": value for name, (_, value) in columns.items()}
     kinds = {f"_in_{name}": kind for name, (kind, _) in columns.items()}
-    cut = segmented(df.withColumns(inputs), keys, order, hot)
-    rows = cut.withColumn("_carried", F.lit(1)).withColumns(
-        {
-            # the first row of the segment holds the total of a hot group
-            name: F.when(F.col("_seg") == 0, F.col(name))
-            for name, kind in kinds.items()
-            if kind == "total"
-        }
-    )
+    cut = segmented(df.withColumns(inputs), order, hot)
     starts = _segment_starts(cut, keys, order, kinds)
+    # the total of a group comes with the start of each segment
+    blank = {
+        name: F.lit(None).cast(cut.schema[name].dataType)
+        for name, kind in kinds.items()
+        if kind == "total"
+    }
+    rows = cut.withColumns(blank).withColumn("_carried", F.lit(1))
     piece = Window.partitionBy(*keys, "_seg")
     upto = piece.orderBy("_carried", *ordering(order))
     by_input = {name: (kind, F.col(f"_in_{name}")) for name, (kind, _) in columns.items()}
     joined = rows.unionByName(starts, allowMissingColumns=True)
-    results = _aggregates(by_input, upto, piece)
+    results = _aggregates(by_input, upto, upto)
     kept = df.select(*[_COMBINE[kind](value).alias(name) for name, (kind, value) in columns.items()])
     done = joined.select("*", *results).withColumns(
         {field.name: F.col(field.name).cast(field.dataType) for field in kept.schema}
@@ -96,8 +108,7 @@ def _segment_starts(
         return _COMBINE[kind](F.col(name)).alias(name)
 
     segments = (
-        cut.where(F.col("_seg") > 0)
-        .groupBy(*keys, "_seg")
+        cut.groupBy(*keys, "_seg")
         .agg(*[summary(name, kind) for name, kind in kinds.items()])
     )
     group = Window.partitionBy(*keys)
@@ -188,10 +199,11 @@ def framed(
     if hot is None:
         window = Window.partitionBy(*keys).orderBy(*ordering(order))
         return df.withColumns(dict(build(window)))
+    cold, rows, hot = apart(df, keys, hot)
     size = hot.rows_per_group
     if max(before, after) > size:
         raise ValueError(f"a frame may reach at most {size} rows")
-    numbered = row_numbers(df, keys, order, "_rn", hot)
+    numbered = row_numbers(rows, keys, order, "_rn", hot)
     offset = (F.col("_rn") - 1) % size
     block = F.floor((F.col("_rn") - 1) / size)
     blocks = F.array(
@@ -202,7 +214,10 @@ def framed(
     copies = numbered.withColumn("_home", block).withColumn("_block", F.explode(F.array_compact(blocks)))
     window = Window.partitionBy(*keys, "_block").orderBy("_rn")
     done = copies.withColumns(dict(build(window)))
-    return done.where(F.col("_home") == F.col("_block")).drop("_home", "_block", "_rn")
+    done = done.where(F.col("_home") == F.col("_block")).drop("_home", "_block", "_rn")
+    if cold is None:
+        return done
+    return framed(cold, keys, order, before, after, build).unionByName(done)
 
 
 def ntile(parts: int, position: Column, size: Column) -> Column:

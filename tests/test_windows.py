@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larkbeam.operators.skew import hot_groups, segmented
+from larkbeam.operators.skew import apart, hot_groups, segmented
 from larkbeam.operators.windows import framed, ntile, ranks, row_numbers, running
 
 
@@ -58,15 +58,20 @@ def test_running_last_in_pieces(spark):
 
 def test_segments_bound_the_rows_of_a_task(spark):
     df = skewed(spark, 6000)
-    hot = hot_groups(df, ["g"], 200)
-    sizes = segmented(df, ["g"], ["x", "row"], hot).groupBy("g", "_seg").count()
-    cold = {row.g for row in df.groupBy("g").count().collect() if row["count"] <= 200}
-    for row in sizes.collect():
-        assert (row["_seg"] == 0) == (row.g in cold)
-        assert row["count"] <= 3 * 200
-    # the value 500 fills far more than one segment, and is cut by the second column
-    ties = segmented(df.where("x = 500.0 OR row % 2 = 0"), [], ["x", "row"], hot_groups(df, [], 200))
-    assert ties.where("x = 500.0").select("_seg").distinct().count() > 2
+    cold, rows, hot = apart(df, ["g"], hot_groups(df, ["g"], 200))
+    assert cold.count() + rows.count() == 6000
+    assert {r.g for r in cold.groupBy("g").count().collect()} == {
+        r.g for r in df.groupBy("g").count().collect() if r["count"] <= 200
+    }
+    pieces = segmented(rows, ["x", "row"], hot).groupBy("_seg").count()
+    assert pieces.agg(F.max("count")).first()[0] <= 2 * 200
+    assert pieces.count() <= 3 * hot.segments()
+
+
+def test_frequent_values_are_cut_by_the_second_column(spark):
+    df = skewed(spark, 6000).where("x = 500.0 OR row % 2 = 0")
+    pieces = segmented(df, ["x", "row"], hot_groups(df, [], 200)).where("x = 500.0").groupBy("_seg")
+    assert pieces.count().agg(F.max("count")).first()[0] <= 2 * 200
 
 
 def test_no_hot_group_leaves_a_plain_window(spark):
