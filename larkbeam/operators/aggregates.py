@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkbeam.operators.skew import ROWS_PER_GROUP, settled
+from larkbeam.operators.skew import settled
 from larkbeam.operators.windows import running
 
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -18,7 +18,7 @@ def percentiles(
     keys: Sequence[str],
     value: str,
     shares: Mapping[str, float],
-    rows_per_group: int = ROWS_PER_GROUP,
+    rows_per_group: int | None = None,
 ) -> DataFrame:
     """Exact interpolated percentiles per group.
 

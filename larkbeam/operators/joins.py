@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkbeam.operators.skew import ROWS_PER_GROUP, as_number, flag_hot, hot_groups
+from larkbeam.operators.skew import as_number, flag_hot, hot_groups
 from larkbeam.operators.windows import running
 
 _KEEPS_LEFT = {"inner", "left", "left_semi", "left_anti"}
@@ -18,7 +18,7 @@ def salted_join(
     small: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    rows_per_group: int = ROWS_PER_GROUP,
+    rows_per_group: int | None = None,
 ) -> DataFrame:
     """Equi-join where a few keys, or null, may hold much of ``big``.
 
@@ -52,7 +52,7 @@ def asof_join(
     left_at: str,
     right_at: str,
     columns: Mapping[str, str],
-    rows_per_group: int = ROWS_PER_GROUP,
+    rows_per_group: int | None = None,
 ) -> DataFrame:
     """Each row of ``left`` with the latest row of ``right`` at or before it.
 
@@ -83,7 +83,7 @@ def range_join(
     at: str,
     start: str,
     end: str,
-    rows_per_group: int = ROWS_PER_GROUP,
+    rows_per_group: int | None = None,
 ) -> DataFrame:
     """Every pair with equal keys where ``start <= at < end``.
 
@@ -130,7 +130,7 @@ def sum_in_range(
     end: Column,
     at: str,
     sums: Mapping[str, Column],
-    rows_per_group: int = ROWS_PER_GROUP,
+    rows_per_group: int | None = None,
 ) -> DataFrame:
     """For each row of ``marks``, sums over the points with ``start <= at < end``.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkbeam.functions.times import MICROS_PER_SECOND, wall_micros
-from larkbeam.operators.skew import ROWS_PER_GROUP, HotGroups, apart, settled
+from larkbeam.operators.skew import HotGroups, apart, settled
 from larkbeam.operators.windows import framed, running
 from larkbeam.sources.files import rewritten
 
@@ -21,7 +21,7 @@ def sessions(
     at: str,
     gap_seconds: int,
     measures: Mapping[str, tuple[str, Column]],
-    rows_per_group: int = ROWS_PER_GROUP,
+    rows_per_group: int | None = None,
 ) -> DataFrame:
     """One row per session with its number, first and last time, and measures.
 

@@ -56,16 +56,18 @@ def _pieces(rows: int, rows_per_piece: int) -> int:
 
 
 def hot_groups(
-    df: DataFrame, keys: Sequence[str], rows_per_group: int = ROWS_PER_GROUP
+    df: DataFrame, keys: Sequence[str], rows_per_group: int | None = None
 ) -> HotGroups | None:
     """The groups of ``df`` with more than ``rows_per_group`` rows, or None.
 
-    Runs a count, and a second, grouped one only if the table is larger than
+    Without a number, the session's ``larkbeam.rowsPerGroup`` or else
+    ``ROWS_PER_GROUP`` counts. Runs a count, and a second, grouped one only if the table is larger than
     one group may be. Without ``keys`` the whole table is the group.
 
     The limit rises with the table where that is needed to leave at most
     ``MAX_HOT_GROUPS`` groups above it, so the result may always be broadcast.
     """
+    rows_per_group = rows_per_group or _default_rows(df)
     total = df.count()
     if total <= rows_per_group:
         return None
@@ -79,14 +81,19 @@ def hot_groups(
     return HotGroups(sizes.select(*keys), rows, largest, rows_per_group) if rows else None
 
 
+def _default_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("larkbeam.rowsPerGroup", str(ROWS_PER_GROUP)))
+
+
 def settled(
-    source: DataFrame, derived: DataFrame, keys: Sequence[str], rows_per_group: int
+    source: DataFrame, derived: DataFrame, keys: Sequence[str], rows_per_group: int | None = None
 ) -> tuple[DataFrame, HotGroups | None]:
     """``derived``, which has no more rows than ``source``, and its hot groups.
 
     Looking for hot groups and cutting them reads a table several times. So a
     derived table that may have hot groups is written once and read from there.
     """
+    rows_per_group = rows_per_group or _default_rows(source)
     if source.count() <= rows_per_group:
         return derived, None
     stored = rewritten(derived, name="settled")
