@@ -28,12 +28,28 @@ def money(name: str) -> Column:
     return scaled(hundredths(name), 15, 2)
 
 
+def total(units: Column, scale: int) -> Column:
+    """Exact sum of whole units of ``10 ** -scale``, as a decimal.
+
+    The upper and lower bits are summed apart as whole numbers, which costs a
+    third of a sum of decimals. With units below 2 ** 43 neither sum overflows
+    before 2 ** 40 rows.
+    """
+    upper = F.sum(F.shiftright(units, 20)).cast("decimal(20,0)")
+    lower = F.sum(units.bitwiseAND(2**20 - 1)).cast("decimal(20,0)")
+    whole = upper * F.lit(Decimal(2**20)) + lower
+    return whole * F.lit(Decimal(1).scaleb(-scale))
+
+
+def revenue_units() -> Column:
+    """Discounted price of a line, in hundredths of a cent."""
+    return hundredths("l_extendedprice") * (100 - hundredths("l_discount"))
+
+
 def revenue() -> Column:
-    """Discounted price of a line."""
-    return scaled(hundredths("l_extendedprice") * (100 - hundredths("l_discount")), 13, 4)
+    return scaled(revenue_units(), 13, 4)
 
 
-def taxed_revenue() -> Column:
-    """Discounted price of a line with tax."""
-    factors = (100 - hundredths("l_discount")) * (100 + hundredths("l_tax"))
-    return scaled(hundredths("l_extendedprice") * factors, 13, 6)
+def taxed_units() -> Column:
+    """Discounted price of a line with tax, in ten-thousandths of a cent."""
+    return revenue_units() * (100 + hundredths("l_tax"))

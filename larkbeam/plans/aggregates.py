@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkbeam.functions.money import money, revenue
+from larkbeam.functions.money import hundredths, revenue, total
 from larkbeam.operators.aggregates import (
     cube_sets,
     grouping_sets,
@@ -33,17 +33,17 @@ TYPES = ["click", "error", "purchase", "signup", "view"]
     """,
 )
 def event_totals(spark: SparkSession, d: str) -> DataFrame:
-    total = F.sum(money("value")).cast("double")
+    sum_of_values = total(hundredths("value"), 2).cast("double")
     value = F.col("value")
     return (
         table(spark, d, "events")
         .groupBy("event_type")
         .agg(
             F.count("*").alias("n"),
-            total.alias("total"),
+            sum_of_values.alias("total"),
             F.min("value").alias("low"),
             F.max("value").alias("high"),
-            (total / F.count("*")).alias("mean"),
+            (sum_of_values / F.count("*")).alias("mean"),
             F.count_if(value > 50).alias("n_large"),
             F.bool_and(value > 0).alias("all_positive"),
             F.bool_or(value > 400).alias("any_huge"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkbeam.functions.money import hundredths, money, revenue, scaled, taxed_revenue
+from larkbeam.functions.money import hundredths, money, revenue, revenue_units, taxed_units, total
 from larkbeam.plans.registry import query
 from larkbeam.sources.tables import table
 
@@ -21,8 +21,8 @@ PRICE = "CAST(l_extendedprice AS DECIMAL(12,2))"
 REVENUE = f"{PRICE} * (1 - CAST(l_discount AS DECIMAL(3,2)))"
 
 
-def _amount(total: Column | str) -> Column:
-    return F.sum(total).cast("double")
+def _amount(value: Column | str) -> Column:
+    return F.sum(value).cast("double")
 
 
 def _day(text: str) -> Column:
@@ -89,16 +89,19 @@ def revenue_by_region(spark: SparkSession, d: str) -> DataFrame:
     """,
 )
 def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
+    def amount(units: Column, scale: int) -> Column:
+        return total(units, scale).cast("double")
+
     sums = (
         table(spark, d, "lineitem")
         .where(F.col("l_shipdate") <= _day("2001-09-02"))
         .groupBy("l_returnflag", "l_linestatus")
         .agg(
-            _amount(money("l_quantity")).alias("sum_qty"),
-            _amount(money("l_extendedprice")).alias("sum_base_price"),
-            _amount(revenue()).alias("sum_disc_price"),
-            _amount(taxed_revenue()).alias("sum_charge"),
-            (F.sum(hundredths("l_discount")) / 100).alias("sum_disc"),
+            amount(hundredths("l_quantity"), 2).alias("sum_qty"),
+            amount(hundredths("l_extendedprice"), 2).alias("sum_base_price"),
+            amount(revenue_units(), 4).alias("sum_disc_price"),
+            amount(taxed_units(), 6).alias("sum_charge"),
+            amount(hundredths("l_discount"), 2).alias("sum_disc"),
             F.count("*").alias("count_order"),
         )
     )
@@ -216,8 +219,8 @@ def discount_forecast(spark: SparkSession, d: str) -> DataFrame:
         & (F.col("l_quantity") < 24)
         & F.col("l_discount").between(0.045, 0.075)  # 0.05 to 0.07, in whole hundredths
     )
-    saved = scaled(hundredths("l_extendedprice") * hundredths("l_discount"), 13, 4)
-    return lines.agg(_amount(saved).alias("revenue"))
+    saved = hundredths("l_extendedprice") * hundredths("l_discount")
+    return lines.agg(total(saved, 4).cast("double").alias("revenue"))
 
 
 @query(

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkbeam.functions.batches import Words, aggregate_batches, compound, title
-from larkbeam.functions.money import money, revenue, taxed_revenue
+from larkbeam.functions.money import hundredths, money, revenue, revenue_units, scaled, taxed_units, total
 from larkbeam.functions.times import utc_instant, utc_wall, wall_micros
 from larkbeam.operators import timeseries
 from larkbeam.session import setting
@@ -39,9 +39,16 @@ def test_money_is_exact(spark):
     wrong = df.where(
         (money("l_extendedprice") != price)
         | (revenue() != price * less)
-        | (taxed_revenue() != price * less * more)
+        | (scaled(taxed_units(), 13, 6) != price * less * more)
     )
     assert wrong.count() == 0
+    sums = df.agg(
+        total(revenue_units(), 4).alias("a"),
+        F.sum(price * less).alias("b"),
+        total(-hundredths("l_extendedprice"), 2).alias("c"),
+        F.sum(-price).alias("d"),
+    ).first()
+    assert sums.a == sums.b and sums.c == sums.d
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Australia/Lord_Howe"])
