@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # types as objects: a type in text needs a session when the module is imported
-_WORD = T.StructType().add("position", T.IntegerType()).add("word", T.StringType())
+_WORDS = (
+    T.StructType()
+    .add("key", T.LongType())
+    .add("position", T.IntegerType())
+    .add("word", T.StringType())
+)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -28,13 +33,22 @@ def title(text: pa.Array) -> pa.Array:
     return pc.utf8_title(text)
 
 
-@F.udtf(returnType=_WORD, useArrow=True)
+@F.arrow_udtf(returnType=_WORDS)
 class Words:
-    """The words of a text, in order."""
-
-    def eval(self, text: str) -> Iterator[tuple[int, str]]:
-        for position, word in enumerate(text.split(" ")):
-            yield position, word
+    """The words of each text in a table of keys and texts, with their positions."""
+
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        words = pc.split_pattern(rows.column(1), " ")
+        row = pc.list_parent_indices(words)
+        _, first = np.unique(row, return_index=True)
+        position = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+        yield pa.table(
+            {
+                "key": pc.take(rows.column(0), row),
+                "position": pa.array(position, pa.int32()),
+                "word": pc.list_flatten(words),
+            }
+        )
 
 
 def aggregate_batches(

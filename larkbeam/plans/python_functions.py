@@ -77,8 +77,7 @@ def geometric_means(spark: SparkSession, d: str) -> DataFrame:
 )
 def words_with_positions(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select("p_partkey", "p_name")
-    words = Words(F.col("p_name").outer())
-    return parts.lateralJoin(words).select("p_partkey", "position", "word")
+    return Words(parts.asTable()).withColumnRenamed("key", "p_partkey")
 
 
 def _large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,8 +14,11 @@ def test_column_functions(spark):
     row = df.select(compound("a", "r", "y").alias("c"), title("t").alias("t")).first()
     assert row.c == pytest.approx(121.0)
     assert row.t == "Two Words"
-    words = df.lateralJoin(Words(F.col("t").outer())).select("position", "word").collect()
-    assert [tuple(w) for w in words] == [(0, "two"), (1, "words")]
+    texts = [(1, "two words"), (2, None), (3, ""), (4, "one"), (5, "a  b")]
+    words = Words(spark.createDataFrame(texts, "k bigint, t string").coalesce(1).asTable()).collect()
+    assert sorted(map(tuple, words)) == [
+        (1, 0, "two"), (1, 1, "words"), (3, 0, ""), (4, 0, "one"), (5, 0, "a"), (5, 1, ""), (5, 2, "b")
+    ]
 
 
 def test_batch_aggregate_sees_every_batch(spark):
