@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkbeam.functions.times import utc_instant
-from larkbeam.session import scratch_path
+from larkbeam.session import scratch_path, setting
 from larkbeam.sources.tables import SCHEMAS
 
 
@@ -35,13 +35,15 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     """
     spark = stream.sparkSession
     path = scratch_path(spark, name)
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", f"{path}/state")
         .option("path", f"{path}/rows")
         .trigger(availableNow=True)
-        .start()
     )
-    query.awaitTermination()
+    # a stream keeps its number of state partitions for good: one for each core there is
+    cores = spark.sparkContext.defaultParallelism
+    with setting(spark, "spark.sql.shuffle.partitions", str(cores)):
+        writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
