@@ -27,14 +27,15 @@ def event_stream(
     return stream.withColumn("ts", utc_instant(F.col("ts")))
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
+def drained(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Run ``stream`` over all input there is, and return what it appended.
 
     The rows go to files in the shared folder, exactly once even if tasks are
-    retried, and not through the driver.
+    retried, and not through the driver. With the ``path`` of an earlier run,
+    the stream goes on where that one ended.
     """
     spark = stream.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")

@@ -6,6 +6,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from check import connect, difference
+from larkbeam.plans import all_queries
+from larkbeam.session import scratch_path, setting
 from larkbeam.sources.tables import SCHEMAS
 from larkbeam.streaming.jobs import drained, event_stream
 from larkbeam.streaming.totals import merge_shards, totals_per_window
@@ -55,6 +58,30 @@ def test_late_rows(spark, tmp_path):
     assert hours(spark, folder) == {"00": 2, "01": 2, "03": 3}
 
 
+def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
+    first = [(10, 1, "view", 1.0), (70, 1, "view", 1.0)]
+    second = [(75, 1, "view", 1.0), (300, 1, "view", 1.0)]
+    folder = deliver(spark, tmp_path / "a", first, second)
+    held_back = tmp_path / "a/events.parquet/part-1.parquet"
+    later = held_back.read_bytes()
+    held_back.unlink()
+    path = scratch_path(spark, "resumed")
+
+    def run():
+        counts = (
+            event_stream(spark, folder)
+            .withWatermark("ts", "5 minutes")
+            .groupBy(F.window("ts", "1 hour"))
+            .agg(F.count("*").alias("n"))
+        )
+        return sorted(r.n for r in drained(counts, "resumed", path).collect())
+
+    assert run() == [1]
+    assert run() == [1]
+    held_back.write_bytes(later)
+    assert run() == [1, 2]
+
+
 def test_own_state_over_batches_and_shards(spark, tmp_path):
     folder = deliver(
         spark,
@@ -83,10 +110,6 @@ def test_stream_reads_a_single_file_too(spark, small):
 
 @pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
 def test_results_do_not_depend_on_the_time_zone(spark, small, zone):
-    from check import connect, difference
-    from larkbeam.plans import all_queries
-    from larkbeam.session import setting
-
     duck = connect(small)
     names = ["stream_tumbling", "stream_own_state", "time_sliding", "time_sessions", "win_lag_lead"]
     with setting(spark, "spark.sql.session.timeZone", zone):
