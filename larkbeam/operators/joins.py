@@ -93,11 +93,11 @@ def range_join(
     is an equi-join on the cell. Columns of the two sides, other than ``on``,
     must have different names.
     """
-    length = as_number(intervals, end) - as_number(intervals, start)
+    first, last = as_number(intervals, start), as_number(intervals, end)
     filed = (
         intervals.where(F.col(start) < F.col(end))
-        .withColumn("_class", F.ceil(F.log2(length)).cast("int"))
-        .withColumn("_cell", F.explode(_cells(as_number(intervals, start), as_number(intervals, end))))
+        .withColumn("_class", F.ceil(F.log2(last - first)).cast("int"))
+        .withColumn("_cell", F.explode(F.sequence(_cell(first), _cell(last))))
     )
     # a double has some 2,000 exponents, so this list is short whatever the data
     classes = [row[0] for row in filed.select("_class").distinct().collect()]
@@ -117,10 +117,6 @@ def _cell(number: Column) -> Column:
     return F.floor(number / F.pow(F.lit(2.0), F.col("_class")))
 
 
-def _cells(start: Column, end: Column) -> Column:
-    return F.sequence(_cell(start), _cell(end))
-
-
 def sum_in_range(
     marks: DataFrame,
     points: DataFrame,
@@ -158,13 +154,11 @@ def sum_in_range(
     hot = hot_groups(both.select(*on), on, rows_per_group)
     before = {f"_to_{name}": ("sum", F.col(name)) for name in sums}
     summed = running(both, on, ["_when", "_side"], before, hot).where(F.col("_side") == 0)
-    signed = {
-        name: F.when(F.col("_sign") > 0, F.col(f"_to_{name}")).otherwise(-F.col(f"_to_{name}"))
-        for name in sums
-    }
-    return summed.groupBy(mark_id).agg(
-        *[
-            F.coalesce(F.sum(value), F.lit(0)).cast(summed.schema[f"_to_{name}"].dataType).alias(name)
-            for name, value in signed.items()
-        ]
-    )
+
+    def difference(name: str) -> Column:
+        upto = F.col(f"_to_{name}")
+        signed = F.when(F.col("_sign") > 0, upto).otherwise(-upto)
+        kind = summed.schema[f"_to_{name}"].dataType
+        return F.coalesce(F.sum(signed), F.lit(0)).cast(kind).alias(name)
+
+    return summed.groupBy(mark_id).agg(*[difference(name) for name in sums])

@@ -39,4 +39,5 @@ def _copies(a: DataFrame, b: DataFrame, wanted: Column) -> DataFrame:
     parts = kept.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_part"))
     spread = parts.repartition("_part", *a.columns)
     here = F.least(F.lit(COPIES_PER_TASK), F.col("_wanted") - F.col("_part") * COPIES_PER_TASK)
-    return spread.select(*a.columns, F.explode(F.array_repeat(F.lit(1), here.cast("int")))).drop("col")
+    copies = F.explode(F.array_repeat(F.lit(1), here.cast("int"))).alias("_copy")
+    return spread.select(*a.columns, copies).drop("_copy")

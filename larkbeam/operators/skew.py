@@ -61,8 +61,9 @@ def hot_groups(
     """The groups of ``df`` with more than ``rows_per_group`` rows, or None.
 
     Without a number, the session's ``larkbeam.rowsPerGroup`` or else
-    ``ROWS_PER_GROUP`` counts. Runs a count, and a second, grouped one only if the table is larger than
-    one group may be. Without ``keys`` the whole table is the group.
+    ``ROWS_PER_GROUP`` counts. Runs a count, and a second, grouped one only if
+    the table is larger than one group may be. Without ``keys`` the whole table
+    is the group.
 
     The limit rises with the table where that is needed to leave at most
     ``MAX_HOT_GROUPS`` groups above it, so the result may always be broadcast.

@@ -74,7 +74,8 @@ def fill_gaps(
     stretches = spans.withColumn("_from", F.explode(F.sequence("_first", "_last", F.lit(stretch))))
     upto = F.least(F.col("_last"), F.col("_from") + stretch - step)
     spread = stretches.repartition(*keys, "_from")
-    empty = spread.select(*keys, F.explode(F.sequence("_from", upto, F.lit(step))).alias("_at")).select(
+    every = F.explode(F.sequence("_from", upto, F.lit(step))).alias("_at")
+    empty = spread.select(*keys, every).select(
         *keys,
         wall(F.col("_at")).alias(at),
         *[F.lit(0).cast(panes.schema[c].dataType).alias(c) for c in zeros],

@@ -73,9 +73,11 @@ def _running_in_pieces(
     by_input = {name: (kind, F.col(f"_in_{name}")) for name, (kind, _) in columns.items()}
     joined = rows.unionByName(starts, allowMissingColumns=True)
     results = _aggregates(by_input, upto, upto)
-    kept = df.select(*[_COMBINE[kind](value).alias(name) for name, (kind, value) in columns.items()])
+    # summing sums must not widen a decimal
+    plain = [_COMBINE[kind](value).alias(name) for name, (kind, value) in columns.items()]
+    types = df.select(*plain).schema
     done = joined.select("*", *results).withColumns(
-        {field.name: F.col(field.name).cast(field.dataType) for field in kept.schema}
+        {field.name: F.col(field.name).cast(field.dataType) for field in types}
     )
     return done.where(F.col("_carried") == 1).drop("_carried", "_seg", *inputs)
 
@@ -168,7 +170,9 @@ def ranks(
         *by,
         (first + 1).alias("rank"),
         "dense_rank",
-        F.when(F.col("_all") == 1, 0.0).otherwise(first / (F.col("_all") - 1)).alias("percent_rank"),
+        F.when(F.col("_all") == 1, 0.0)
+        .otherwise(first / (F.col("_all") - 1))
+        .alias("percent_rank"),
         (F.col("_upto") / F.col("_all")).alias("cume_dist"),
     )
     found = F.struct(*[ranked[c] for c in _RANKS]).alias("_ranks")
@@ -211,7 +215,9 @@ def framed(
         F.when(offset >= size - before, block + 1),
         F.when((offset < after) & (block > 0), block - 1),
     )
-    copies = numbered.withColumn("_home", block).withColumn("_block", F.explode(F.array_compact(blocks)))
+    copies = numbered.withColumn("_home", block).withColumn(
+        "_block", F.explode(F.array_compact(blocks))
+    )
     window = Window.partitionBy(*keys, "_block").orderBy("_rn")
     done = copies.withColumns(dict(build(window)))
     done = done.where(F.col("_home") == F.col("_block")).drop("_home", "_block", "_rn")
