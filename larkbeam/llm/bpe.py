@@ -126,7 +126,7 @@ class BacktrackingBpe:
             self._shorter[i] = next((self._ids[s] for s in starts if s in self._ids), -1)
             self._matches.add_word(spelled, (i, len(spelled) - 1))
         self._matches.make_automaton()
-        self._pairs = IdTable()
+        self._pairs = IdTable(TABLE_ENTRIES // 4)
 
     def _is_base(self, token: str) -> bool:
         return len(token.removesuffix(self.suffix) if self.suffix else token) == 1

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkbeam.llm import bpe, packing
+from larkbeam.llm import bpe, minhash, packing
 from larkbeam.sources.tables import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,9 @@ def bpe_round_trip(spark: SparkSession, directory: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
     """Every piece of every document, and its place in a sequence of 2048 tokens."""
     return packing.pack(table(spark, directory, "documents"), ["doc_id"], "text", word_bpe(), 2048)
+
+
+@query("op2_minhash_near_duplicates")
+def minhash_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
+    """Components of documents that share 80 of 100 pairs of neighbouring words."""
+    return minhash.near_duplicates(table(spark, directory, "documents"), width=2, percent=80)
