@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -58,3 +58,23 @@ def map_batches(
 
 def _parse(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
+
+
+def filter_batches(
+    df: DataFrame, texts: str, work: Callable[[], Callable[[list], Sequence[bool]]]
+) -> DataFrame:
+    """The rows of ``df`` whose text passes, with all columns as they are."""
+    schema, at = df.schema, df.columns.index(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = work()
+        for batch in batches:
+            yield batch.filter(pa.array(list(passes(batch.column(at).to_pylist())), pa.bool_()))
+
+    return df.mapInArrow(run, schema)
+
+
+def held_out(doc_id: str) -> Column:
+    """Whether a document is left out of learning: a third of them, by id."""
+    third = F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
+    return F.coalesce(third == 1, F.lit(False))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkbeam.llm import bpe, minhash, packing
+from larkbeam.llm import bpe, minhash, packing, pseudonyms, quality, toxicity
 from larkbeam.sources.tables import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +55,22 @@ def best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
 def minhash_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
     """Components of documents that share 80 of 100 pairs of neighbouring words."""
     return minhash.near_duplicates(table(spark, directory, "documents"), width=2, percent=80)
+
+
+@query("op3_ordinal_toxicity")
+def ordinal_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    """The expected grade of abuse of every document."""
+    return toxicity.severity(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+@query("op9_quality_discriminant")
+def quality_discriminant(spark: SparkSession, directory: str) -> DataFrame:
+    """The quality of every document, learned from two thirds of the labels."""
+    return quality.quality_scores(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+@query("op10_feistel_pseudonyms")
+def feistel_pseudonyms(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    docs = table(spark, directory, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymised(docs, count="replaced")
