@@ -26,6 +26,13 @@ def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
     return store[key]
 
 
+def slices_of(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the texts of one fit into memory several times."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(
     df: DataFrame,
     keep: Sequence[str],
@@ -45,7 +52,7 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = work()
-        for batch in batches:
+        for batch in slices_of(batches):
             made = rows(batch.column(n).to_pylist())
             new = [
                 pa.array(list(values), type=field.type)
@@ -68,7 +75,7 @@ def filter_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = work()
-        for batch in batches:
+        for batch in slices_of(batches):
             yield batch.filter(pa.array(list(passes(batch.column(at).to_pylist())), pa.bool_()))
 
     return df.mapInArrow(run, schema)

@@ -26,13 +26,13 @@ from larkbeam.llm.batches import map_batches, per_worker
 from larkbeam.llm.spans import SHORT, mixed, slices, span_hashes, spans
 
 #: Words in a worker's table, and pairs, before it is emptied: bounds its memory.
-TABLE_ENTRIES = 1_500_000
+TABLE_ENTRIES = 750_000
 
 #: Words that take their steps together.
 WORDS = 10_000
 
 #: Bytes of text that are encoded together.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 _ASCII_SPACE = re.compile(rb"[\t-\r ]")
 

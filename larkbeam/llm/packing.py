@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from larkbeam.llm.batches import _parse
+from larkbeam.llm.batches import _parse, slices_of
 from larkbeam.llm.bpe import encoder
 from larkbeam.sources.files import rewritten
 
@@ -105,7 +105,7 @@ def pieces(df: DataFrame, keep: list[str], text: str, path: str, size: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = encoder(path), Counter()
         part = TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in slices_of(batches):
             source, rows = [], []
             for i, own in enumerate(enc.encode_all([t or "" for t in batch.column(n).to_pylist()])):
                 ids = memoryview(own.astype("<u4").tobytes() + b"\0\0\0\0")

@@ -9,7 +9,7 @@ import numpy as np
 from larkbeam.llm.spans import mixed, span_hashes, spans
 
 #: Bytes of text that are taken together.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 _FACTOR = np.uint64(0x9FB21C651E98DF25)
 

@@ -17,7 +17,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _grown(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(1 << 20, 1 << int(n - 1).bit_length())
+        size = 1 << max(16, int(n - 1).bit_length())
         for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             factors = np.full(size, base, np.uint64)
             factors[0] = 1

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkbeam.llm.batches import filter_batches, held_out, map_batches
+from larkbeam.llm.batches import filter_batches, held_out, map_batches, slices_of
 from larkbeam.llm.spans import mixed, span_hashes, spans
 from larkbeam.sources.files import rewritten
 
@@ -105,7 +105,7 @@ def _counted(labelled: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BITS), np.int32)
-        for batch in batches:
+        for batch in slices_of(batches):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen[label, features(text)] += 1
         found = np.flatnonzero(seen.any(axis=0))
