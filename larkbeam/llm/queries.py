@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkbeam.llm import bpe, minhash, packing, pseudonyms, quality, toxicity
+from larkbeam.llm import bpe, minhash, mpeg_audio, packing, pseudonyms, quality, toxicity
 from larkbeam.sources.tables import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,9 @@ def feistel_pseudonyms(spark: SparkSession, directory: str) -> DataFrame:
     """Every document with its personal data replaced."""
     docs = table(spark, directory, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymised(docs, count="replaced")
+
+
+@query("op1_mpeg_audio")
+def mpeg_audio_round_trip(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document stored as MPEG audio and read back."""
+    return mpeg_audio.round_trip(table(spark, directory, "documents"), ["doc_id"], "text")
