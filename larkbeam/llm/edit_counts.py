@@ -1,0 +1,159 @@
+"""Token counts that follow edits, by a tree of counted segments for each document.
+
+A text is cut where white space follows a visible ASCII character: no
+pre-token reaches across such a place, so segments are counted apart and a
+tree holds the sums. An edit is found by going down the tree, and only the
+segments that it touches are encoded again, with the neighbour where a cut is no
+longer such a place. Then the sums above them are brought up to date.
+"""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import re
+from collections.abc import Callable
+
+import public_tokenizers
+import tiktoken
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from larkbeam.llm.batches import map_batches, per_worker
+
+#: Characters of a segment, about.
+SEGMENT = 96
+
+_CUT = re.compile("(?<=[!-~])(?=[ \n])")
+
+
+def _encoding(path: str) -> tiktoken.Encoding:
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def counter(path: str) -> Callable[[str], int]:
+    """How many tokens a text has, by a file of ranks that each worker loads once."""
+    encoding = per_worker(("ranks", path), lambda: _encoding(path))
+    return lambda text: len(encoding.encode_ordinary(text))
+
+
+def segments(text: str) -> list[str]:
+    out, at = [], 0
+    while len(text) - at > 2 * SEGMENT:
+        cut = _CUT.search(text, at + SEGMENT)
+        if not cut:
+            break
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    out.append(text[at:])
+    return out
+
+
+class CountedText:
+    """A text with the number of its tokens, kept while it is edited."""
+
+    def __init__(self, text: str, count: Callable[[str], int]):
+        self._count, self.encoded = count, 0
+        self._parts = segments(text)
+        self._size = 1 << (len(self._parts) - 1).bit_length()
+        self._chars, self._tokens = [0] * (2 * self._size), [0] * (2 * self._size)
+        for i in range(len(self._parts)):
+            self._weigh(i)
+        for i in range(self._size - 1, 0, -1):
+            self._add_up(i)
+        self.at_first = self.encoded
+
+    def _weigh(self, i: int) -> None:
+        part = self._parts[i]
+        self.encoded += len(part)
+        self._chars[self._size + i], self._tokens[self._size + i] = len(part), self._count(part) if part else 0
+
+    def _add_up(self, i: int) -> None:
+        self._chars[i] = self._chars[2 * i] + self._chars[2 * i + 1]
+        self._tokens[i] = self._tokens[2 * i] + self._tokens[2 * i + 1]
+
+    @property
+    def tokens(self) -> int:
+        return self._tokens[1]
+
+    @property
+    def length(self) -> int:
+        return self._chars[1]
+
+    def text(self) -> str:
+        return "".join(self._parts)
+
+    def _find(self, at: int) -> tuple[int, int]:
+        """The segment that holds the character at ``at``, and where it begins."""
+        node, begin = 1, 0
+        while node < self._size:
+            node *= 2
+            if at - begin >= self._chars[node] and self._chars[node + 1]:
+                begin += self._chars[node]
+                node += 1
+        return node - self._size, begin
+
+    def edit(self, start: int, end: int, new: str) -> None:
+        """Replace the characters from ``start`` up to ``end``; both are brought into the text."""
+        start = min(max(start, 0), self.length)
+        end = min(max(end, start), self.length)
+        first, begin = self._find(start)
+        last, last_begin = self._find(max(start, end - 1))
+        if last < first:
+            last, last_begin = first, begin
+        head = self._parts[first][: start - begin]
+        changed = head + new + self._parts[last][end - last_begin :]
+        # take in neighbours until both ends are places where segments may be cut
+        while True:
+            before = next((i for i in range(first - 1, -1, -1) if self._parts[i]), None)
+            if before is None or changed and _CUT.search(self._parts[before][-1] + changed[0]):
+                break
+            changed, first = self._parts[before] + changed, before
+        while True:
+            after = next((i for i in range(last + 1, len(self._parts)) if self._parts[i]), None)
+            if after is None or changed and _CUT.search(changed[-1] + self._parts[after][0]):
+                break
+            changed, last = changed + self._parts[after], after
+        pieces = segments(changed)
+        room = last - first + 1
+        pieces[room - 1 :] = ["".join(pieces[room - 1 :])] if len(pieces) >= room else []
+        for i in range(first, last + 1):
+            self._parts[i] = pieces[i - first] if i - first < len(pieces) else ""
+            self._weigh(i)
+        low, high = (self._size + first) // 2, (self._size + last) // 2
+        while low:
+            for i in range(low, high + 1):
+                self._add_up(i)
+            low, high = low // 2, high // 2
+
+
+def edited_counts(df: DataFrame, keep: list[str], text: str, edits: str, path: str) -> DataFrame:
+    """Token counts before and after the edits of every row, beside ``keep``.
+
+    ``edits`` is an array of structs ``start``, ``stop`` and ``new``, applied one
+    after the other; each counts characters of the text as it then is, and
+    places beyond the text count as its end. ``encoded_again`` is how many
+    characters had to be encoded for them. Null texts count as empty, null
+    arrays as no edits, and null fields as 0 or no text. Equal rows give equal
+    rows. Other columns are ignored.
+    """
+    both = df.select(*keep, F.struct(F.col(text).alias("text"), F.col(edits).alias("edits")).alias("_both"))
+
+    def work() -> Callable[[list], list[tuple]]:
+        count = counter(path)
+
+        def follow(row: dict) -> tuple:
+            own = CountedText(row["text"] or "", count)
+            before = own.tokens
+            for e in row["edits"] or []:
+                own.edit(e["start"] or 0, e["stop"] or 0, e["new"] or "")
+            again = own.encoded - own.at_first
+            digest = hashlib.sha256(own.text().encode()).hexdigest()
+            return before, own.tokens, again, own.length, digest
+
+        return lambda rows: [follow(row) for row in rows]
+
+    added = "tokens_before long, tokens_after long, encoded_again long, n_chars long, text_sha256 string"
+    return map_batches(both, keep, "_both", work, added)

@@ -6,9 +6,12 @@ import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkbeam.llm import bpe, minhash, mpeg_audio, packing, pseudonyms, quality, toxicity
+from larkbeam.llm import (
+    bpe, edit_counts, html_text, minhash, mpeg_audio, packing, pseudonyms, quality, toxicity, vector_search,
+)
 from larkbeam.sources.tables import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +83,57 @@ def feistel_pseudonyms(spark: SparkSession, directory: str) -> DataFrame:
 def mpeg_audio_round_trip(spark: SparkSession, directory: str) -> DataFrame:
     """Every document stored as MPEG audio and read back."""
     return mpeg_audio.round_trip(table(spark, directory, "documents"), ["doc_id"], "text")
+
+
+@query("op4_html_main_text")
+def html_main_text(spark: SparkSession, directory: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extracted(table(spark, directory, "pages"), ["page_id", "url"], "html")
+
+
+@query("op7_edited_token_counts")
+def edited_token_counts(spark: SparkSession, directory: str) -> DataFrame:
+    """Token counts of every document before and after eight edits.
+
+    Each edit takes up to 40 characters out at a place that depends on the text,
+    and puts a piece of up to 60 from elsewhere in the document there.
+    """
+    size = F.length("text")
+
+    def edit(i: Column) -> Column:
+        def place(salt: int) -> Column:
+            return F.pmod(F.xxhash64("text", i, F.lit(salt)), size + 1).cast("int")
+
+        taken = F.substr(F.col("text"), place(2) + 1, F.pmod(F.xxhash64("text", i), F.lit(61)).cast("int"))
+        stop = place(1) + F.pmod(F.xxhash64("text", i, F.lit(3)), F.lit(41)).cast("int")
+        return F.struct(place(1).alias("start"), stop.alias("stop"), taken.alias("new"))
+
+    docs = table(spark, directory, "documents")
+    edits = F.transform(F.sequence(F.lit(0), F.lit(7)), edit)
+    return edit_counts.edited_counts(
+        docs.select("doc_id", "text", edits.alias("edits")), ["doc_id"], "text", "edits",
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    )
+
+
+@query(
+    "op8_vector_approximation_search",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+    ), pairs AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+               CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+    ), ranked AS (
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id, score
+        FROM pairs
+    )
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+)
+def vector_approximation_search(spark: SparkSession, directory: str) -> DataFrame:
+    """The ten best of all vectors for every hundredth vector."""
+    return vector_search.top_k(table(spark, directory, "embeddings"), "vec_id % 100 = 0", k=10)
