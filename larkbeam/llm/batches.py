@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator, Sequence
@@ -15,15 +17,22 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
-    """``make()``, once in each Python worker.
+    """``make()``, once in each Python worker, as long as nothing else is asked for.
 
     Functions of this package reach the workers by value, so globals of their
-    modules last for one task. This store lasts as long as the worker.
+    modules last for one task. This store lasts as long as the worker, which may
+    serve other operators later; then what it kept for the one before goes.
     """
-    store = sys.modules.setdefault("larkbeam_worker_store", types.ModuleType("store")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    kept = sys.modules.setdefault("larkbeam_worker_store", types.ModuleType("store")).__dict__
+    kept = kept.setdefault("kept", {})
+    if key not in kept:
+        if kept:
+            kept.clear()
+            gc.collect()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)  # else freed memory stays with the worker
+        kept[key] = make()
+    return kept[key]
 
 
 def slices_of(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from larkbeam.llm.batches import map_batches, per_worker
 from larkbeam.llm.spans import SHORT, mixed, slices, span_hashes, spans
 
 #: Words in a worker's table, and pairs, before it is emptied: bounds its memory.
-TABLE_ENTRIES = 750_000
+TABLE_ENTRIES = 400_000
 
 #: Words that take their steps together.
 WORDS = 10_000
@@ -126,7 +126,7 @@ class BacktrackingBpe:
             self._shorter[i] = next((self._ids[s] for s in starts if s in self._ids), -1)
             self._matches.add_word(spelled, (i, len(spelled) - 1))
         self._matches.make_automaton()
-        self._pairs = IdTable(TABLE_ENTRIES // 4)
+        self._pairs = IdTable(TABLE_ENTRIES // 2)
 
     def _is_base(self, token: str) -> bool:
         return len(token.removesuffix(self.suffix) if self.suffix else token) == 1
@@ -307,7 +307,7 @@ class Encoder:
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         known = self._words
-        if len(known) > TABLE_ENTRIES // 4:
+        if len(known) > TABLE_ENTRIES // 6:
             known.clear()
         words = [self._words_of(c) for c in chunks]
         new = {w for own in words for w in own if w not in known}
