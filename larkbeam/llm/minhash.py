@@ -200,7 +200,8 @@ def near_duplicates(
     candidates = members.select("nid").distinct().join(named.select("nid", "key", "first"), "nid")
     candidates = rewritten(candidates, name="candidates")
     source = df.select(F.col(doc_id).alias("first"), F.col(text).alias("text"))
-    texts = source.join(candidates.select("first").distinct(), "first", "left_semi")
+    # candidates grow with the corpus, so they are never broadcast
+    texts = source.join(candidates.select("first").distinct().hint("merge"), "first", "left_semi")
     sets = _sets(texts, width).join(candidates.select("nid", "key"), "key").dropDuplicates(["nid"])
     sets = rewritten(sets.select("nid", "shingles"), name="sets")
 

@@ -128,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Ordinal:
     """
     known = labels.where(~held_out("doc_id") & F.col("toxic").isin(0, 1))
     known = known.select("doc_id", F.col("toxic").cast("int").alias("label")).distinct()
-    labelled = docs.select("doc_id", "text").join(known, "doc_id")
+    # labels grow with the corpus, so they are never broadcast
+    labelled = docs.select("doc_id", "text").join(known.hint("merge"), "doc_id")
     labelled = rewritten(labelled, name="labelled")
     sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
