@@ -9,7 +9,7 @@ through every stage as the stage's operator states.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkbeam.llm import minhash, packing, pseudonyms, quality, toxicity
@@ -33,12 +33,15 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Of rows with the same id one stays, and so does every row without an id.
     """
     found = rewritten(minhash.near_duplicates(docs, width=5, percent=80), name="near")
-    kept = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    kept = rewritten(kept.withColumnRenamed("doc_id", "_kept"), name="kept")
-    once = docs.join(kept.where("_n = 1"), F.col("doc_id") == F.col("_kept"), "left_semi")
-    often = docs.join(kept.where("_n > 1"), F.col("doc_id") == F.col("_kept"), "left_semi")
-    nameless = docs.where("doc_id IS NULL")
-    return once.union(often.dropDuplicates(["doc_id"])).union(nameless)
+    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.where("doc_id IS NOT NULL").select(
+        F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_order")
+    )
+    # ids grow with the corpus, so they are never broadcast; the window uses the join's partitions
+    met = rows.join(kept.hint("merge"), F.col("_id") == F.col("_kept"))
+    nth = F.row_number().over(Window.partitionBy("_id").orderBy("_order"))
+    once = met.withColumn("_nth", nth).where("_nth = 1").select("_row.*")
+    return once.union(docs.where("doc_id IS NULL"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
