@@ -24,10 +24,10 @@ def percentiles(
 
     The built-in exact percentile keeps all distinct values of a group in one
     task's memory. Here values are counted first, and running counts show
-    which value holds each wanted position.
+    which value holds each wanted position. A group without values has nulls.
     """
-    present = df.where(F.col(value).isNotNull())
-    counts = present.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    # nulls count nothing, but keep their group
+    counts = df.groupBy(*keys, value).agg(F.count(value).alias("_n"))
     counts, hot = settled(df, counts, keys, rows_per_group)
     placed = running(
         counts, keys, [value], {"_upto": ("sum", F.col("_n")), "_all": ("total", F.col("_n"))}, hot
@@ -71,7 +71,7 @@ def most_frequent(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of each group by ``order``, without sorting the groups."""
+    """The last row of each group by ``order``; each task hands on one row per group."""
     rest = [c for c in df.columns if c not in keys]
     row = F.max_by(F.struct(*rest), F.struct(*order))
     return df.groupBy(*keys).agg(row.alias("_row")).select(*keys, "_row.*").select(*df.columns)

@@ -33,7 +33,7 @@ def salted_join(
         return big.join(small, list(on), how)
     salts = hot.salts()
     # the same on a retried task; the partition number spreads equal rows
-    spread = F.pmod(F.xxhash64(*big.columns) + F.spark_partition_id(), F.lit(salts))
+    spread = F.pmod(F.xxhash64(*big.columns, F.spark_partition_id()), F.lit(salts))
     left = flag_hot(big, on, hot).withColumn(
         "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)).cast("int")
     )
@@ -89,14 +89,21 @@ def range_join(
 
     An interval is filed under the power of two at or above its length, where
     it touches at most two cells; a point looks in one cell for each length
-    class that occurs. So short and long intervals may be mixed, and the join
+    class that occurs. Intervals are first cut to the range of the points, so
+    they may be open. Short and long intervals may be mixed, and the join
     is an equi-join on the cell. Columns of the two sides, other than ``on``,
     must have different names.
     """
+    known = points.where(F.col(at).isNotNull())
+    low, high = known.agg(F.min(as_number(points, at)), F.max(as_number(points, at))).first()
     first, last = as_number(intervals, start), as_number(intervals, end)
+    inside = (F.col(start) < F.col(end)) & (last >= F.lit(low)) & (first <= F.lit(high))
+    first, last = F.greatest(first, F.lit(low)), F.least(last, F.lit(high))
+    # large whole numbers next to one another may be the same double
+    size = F.when(last > first, F.ceil(F.log2(last - first))).otherwise(0)
     filed = (
-        intervals.where(F.col(start) < F.col(end))
-        .withColumn("_class", F.ceil(F.log2(last - first)).cast("int"))
+        intervals.where(inside)
+        .withColumn("_class", size.cast("int"))
         .withColumn("_cell", F.explode(F.sequence(_cell(first), _cell(last))))
     )
     # a double has some 2,000 exponents, so this list is short whatever the data
@@ -127,6 +134,7 @@ def sum_in_range(
     at: str,
     sums: Mapping[str, Column],
     rows_per_group: int | None = None,
+    null_keys: bool = False,
 ) -> DataFrame:
     """For each row of ``marks``, sums over the points with ``start <= at < end``.
 
@@ -134,9 +142,10 @@ def sum_in_range(
     with ranges, so the work is that of one sort however many points fall into
     each range. Give exact types, as sums are subtracted. ``mark_id`` must be
     unique in ``marks``, and its ranges must not be null. A point in no range
-    is left out; a mark without points gets zeros.
+    is left out; a mark without points gets zeros. A null key matches nothing, as
+    in a join, or with ``null_keys`` other nulls, as in a window.
     """
-    keyed = points.dropna(subset=[*on, at])
+    keyed = points.dropna(subset=[at] if null_keys else [*on, at])
     point = keyed.select(
         *on,
         F.col(at).alias("_when"),

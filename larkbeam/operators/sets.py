@@ -13,11 +13,17 @@ def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def intersect_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.distinct().intersect(b.distinct().select(*a.columns))
+    return _sides(a, b).where("_side = 3").drop("_side")
 
 
 def except_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.distinct().subtract(b.distinct().select(*a.columns))
+    return _sides(a, b).where("_side = 1").drop("_side")
+
+
+def _sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Each different row once, with 1 if it is in ``a``, 2 if in ``b``, 3 if in both."""
+    both = a.withColumn("_side", F.lit(1)).unionByName(b.withColumn("_side", F.lit(2)))
+    return both.groupBy(*a.columns).agg(F.bit_or("_side").alias("_side"))
 
 
 def intersect_all(a: DataFrame, b: DataFrame) -> DataFrame:

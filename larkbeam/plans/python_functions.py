@@ -95,4 +95,4 @@ def _large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 )
 def large_values_in_cents(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select("event_id", "value")
-    return events.mapInArrow(_large, "event_id bigint, cents bigint")
+    return events.where("value > 100").mapInArrow(_large, "event_id bigint, cents bigint")

@@ -152,6 +152,7 @@ def last_day_per_event(spark: SparkSession, d: str) -> DataFrame:
         after,
         "ts",
         sums,
+        null_keys=True,
     )
     return found.withColumn("total", F.col("total").cast("double"))
 

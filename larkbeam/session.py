@@ -13,15 +13,20 @@ from pyspark.sql import SparkSession
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def local_session(cpus: int | str = 8, app: str = "larkbeam", memory: str = "16g") -> SparkSession:
+def local_session(
+    cpus: int | str = 8, app: str = "larkbeam", memory: str = "16g", checkpoint_dir: str | None = None
+) -> SparkSession:
     """A session on this machine, for tests and the benchmark.
 
     On a cluster, pass the session that the cluster made; nothing in the
     package depends on the settings below.
     """
     partitions = os.cpu_count() if cpus == "*" else cpus
+    builder = SparkSession.builder
+    if checkpoint_dir:
+        builder = builder.config(_CHECKPOINT_DIR, checkpoint_dir)
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")

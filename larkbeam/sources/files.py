@@ -51,7 +51,7 @@ def rewritten(
 
 def bucket_count(rows: int) -> int:
     """Buckets of some two million rows each."""
-    return min(20_000, max(8, rows // 2_000_000))
+    return max(8, rows // 2_000_000)
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, name: str = "bucketed") -> DataFrame:

@@ -11,10 +11,8 @@ from larkbeam import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(memory="8g")
+    session = local_session(memory="8g", checkpoint_dir=tempfile.mkdtemp(prefix="larkbeam-tests-"))
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="larkbeam-tests-"))
     yield session
     session.stop()
 

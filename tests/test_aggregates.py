@@ -102,3 +102,13 @@ def test_sessions(spark, limit):
             want[-1][5], last = max(want[-1][5], row.id), row.s
     rows = [(r.k, r.session_no, r.session_start, r.session_end, r.n, r.top) for r in got.collect()]
     assert sorted(rows) == sorted(tuple(w) for w in want)
+
+
+def test_percentiles_keep_groups_without_values(spark):
+    from larkbeam.operators.aggregates import percentiles
+
+    rows = [("a", 1.0), ("a", 3.0), ("a", None), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for rows_per_group in (None, 1):
+        got = percentiles(df, ["g"], "x", {"half": 0.5}, rows_per_group).collect()
+        assert sorted((r.g, r.half) for r in got) == [("a", 2.0), ("b", None)]

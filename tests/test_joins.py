@@ -99,3 +99,15 @@ def test_asof_join(points, ranges, on, limit):
         want.append((row.p, None, None) if best.empty else (row.p, best.r.iloc[0], best.lo.iloc[0]))
     rows = [(r.p, r.mark, r.since) for r in got.collect()]
     assert sorted(rows, key=str) == sorted(want, key=str)
+
+
+def test_range_join_keeps_short_and_open_intervals(spark):
+    from larkbeam.operators.joins import range_join
+
+    big = 2**53 + 4
+    points = spark.createDataFrame([(1, float(x), x) for x in (5, 7, big)], "k int, at double, whole long")
+    open_ = spark.createDataFrame([(1, float("-inf"), 6.0), (1, 6.0, float("inf"))], "k int, start double, stop double")
+    got = range_join(points, open_, ["k"], "at", "start", "stop").select("at", "start").collect()
+    assert sorted((r.at, r.start) for r in got) == [(5.0, float("-inf")), (7.0, 6.0), (float(big), 6.0)]
+    short = spark.createDataFrame([(1, big, big + 1)], "k int, start long, stop long")
+    assert range_join(points, short, ["k"], "whole", "start", "stop").count() == 1

@@ -49,7 +49,7 @@ def test_bucketed_tables_join_without_shuffle(spark, small):
 def test_bucket_count():
     assert bucket_count(10) == 8
     assert bucket_count(100_000_000) == 50
-    assert bucket_count(10**12) == 20_000
+    assert bucket_count(10**12) == 500_000
 
 
 def test_scratch_lies_in_the_shared_folder(spark):

@@ -10,7 +10,7 @@ from check import connect, difference
 from larkbeam.plans import all_queries
 from larkbeam.session import scratch_path, setting
 from larkbeam.sources.tables import SCHEMAS
-from larkbeam.streaming.jobs import drained, event_stream
+from larkbeam.streaming.jobs import LateRows, drained, event_stream
 from larkbeam.streaming.totals import merge_shards, totals_per_window
 
 START = dt.datetime(2024, 3, 1)
@@ -41,7 +41,7 @@ def hours(spark, folder):
         .agg(F.count("*").alias("n"))
     )
     start = F.date_format("window.start", "HH")
-    return {r.h: r.n for r in drained(counts, "hours").select(start.alias("h"), "n").collect()}
+    return {r.h: r.n for r in drained(counts, "hours", late="drop").select(start.alias("h"), "n").collect()}
 
 
 def test_late_rows(spark, tmp_path):
@@ -96,7 +96,7 @@ def test_own_state_over_batches_and_shards(spark, tmp_path):
     parts = totals_per_window(
         event_stream(spark, folder, files_per_batch=1), "event_type", "1 hour", "10 minutes", 3
     )
-    rows = merge_shards(drained(parts, "totals"), "event_type").collect()
+    rows = merge_shards(drained(parts, "totals", late="drop"), "event_type").collect()
     got = {(r.event_type, r.window_end.hour): (r.n, r.cents, r.top_cents) for r in rows}
     assert got[("click", 1)] == (1, 300, 300)
     assert got[("view", 2)] == (1, 900, 900)
@@ -117,3 +117,19 @@ def test_results_do_not_depend_on_the_time_zone(spark, small, zone):
             query = all_queries()[name]
             got = query.plan(spark, small).toPandas()
             assert difference(got, duck.execute(query.oracle).df()) is None, name
+
+
+def test_late_rows_are_reported_and_file_order_does_not_matter(spark, tmp_path):
+    # the newest file comes first; two files more are behind its watermark
+    folder = deliver(
+        spark, tmp_path, [(600, 1, "view", 1.0)], [(601, 1, "view", 1.0)], [(5, 1, "view", 1.0)], [(700, 1, "view", 1.0)]
+    )
+
+    def counted(files_per_batch):
+        stream = event_stream(spark, folder, files_per_batch).withWatermark("ts", "30 minutes")
+        return stream.groupBy(F.window("ts", "1 hour")).count()
+
+    assert drained(counted(None), "whole").agg(F.sum("count")).first()[0] == 3
+    with pytest.raises(LateRows, match="1 rows"):
+        drained(counted(1), "pieces")
+    assert drained(counted(1), "pieces", late="drop").agg(F.sum("count")).first()[0] == 2
