@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+#: Rows that Spark hands to Python at a time, at most.
+ROWS_PER_BATCH = 1000
+
 
 def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
     """``make()``, once in each Python worker, as long as nothing else is asked for.
@@ -42,6 +45,19 @@ def slices_of(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa
             yield batch.slice(at, rows)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands at most 1,000 rows to Python at a time.
+
+    By default it is 10,000, which for long texts is more memory than a worker
+    has, both there and in the executor. A lower setting stays as it is.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= ROWS_PER_BATCH:
+        conf.set(key, str(ROWS_PER_BATCH))
+    return df
+
+
 def map_batches(
     df: DataFrame,
     keep: Sequence[str],
@@ -69,7 +85,7 @@ def map_batches(
             ] or [pa.array([], type=field.type) for field in list(arrow)[n:]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *new], schema=arrow)
 
-    return df.select(*keep, F.col(texts).alias("_value")).mapInArrow(run, schema)
+    return small_batches(df).select(*keep, F.col(texts).alias("_value")).mapInArrow(run, schema)
 
 
 def _parse(ddl: str) -> StructType:
@@ -87,7 +103,7 @@ def filter_batches(
         for batch in slices_of(batches):
             yield batch.filter(pa.array(list(passes(batch.column(at).to_pylist())), pa.bool_()))
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from larkbeam.llm.batches import _parse, slices_of
+from larkbeam.llm.batches import _parse, slices_of, small_batches
 from larkbeam.llm.bpe import encoder
 from larkbeam.sources.files import rewritten
 
@@ -120,7 +120,7 @@ def pieces(df: DataFrame, keep: list[str], text: str, path: str, size: int) -> D
             new = [pa.array(list(v), f.type) for v, f in zip(made, list(arrow)[n:])]
             yield pa.RecordBatch.from_arrays([*kept, *new], schema=arrow)
 
-    return df.select(*keep, F.col(text).alias("_value")).mapInArrow(run, schema)
+    return small_batches(df).select(*keep, F.col(text).alias("_value")).mapInArrow(run, schema)
 
 
 def pack(df: DataFrame, keep: list[str], text: str, path: str, size: int = 2048) -> DataFrame:
