@@ -148,8 +148,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Ordinal:
     def work() -> Callable[[list], list[tuple]]:
         return lambda texts: [(np.flatnonzero(np.isin(numbers, features(t))),) for t in texts]
 
-    sampled = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
-    sample = map_batches(sampled, ["label"], "text", work, "found array<int>").toPandas()
+    # the last hash of the sample is found without the texts, so that none is shuffled again
+    hashed = labelled.withColumn("_hash", F.xxhash64("doc_id"))
+    last = hashed.select("_hash").orderBy("_hash").limit(TRAINING_ROWS).agg(F.max("_hash")).first()[0]
+    found = map_batches(
+        hashed.where(F.col("_hash") <= last), ["_hash", "doc_id", "label"], "text", work, "found array<int>"
+    )
+    sample = found.orderBy("_hash", "doc_id", "label", "found").limit(TRAINING_ROWS).toPandas()
     rows = [np.asarray(r, np.int64) for r in sample["found"]]
     is_mark = np.isin(numbers, marks)
     grade = np.searchsorted(GRADES, [is_mark[r].sum() for r in rows], "right")
