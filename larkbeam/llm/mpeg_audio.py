@@ -209,23 +209,47 @@ def _tables(frame: bytes, h: Header, out: Audio) -> bool:
     return False
 
 
-def _end_of_sound(data: bytes) -> int:
-    end = len(data)
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-    if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
-        size, flags = struct.unpack("<I", data[end - 20 : end - 16])[0], data[end - 9]
-        end = max(0, end - size - 32 * bool(flags & 0x80))
-    return end
+def _ends_of_sound(data: bytes, start: int) -> list[int]:
+    """Where the sound may end: without what looks like tags at the end, and with it."""
+    ends = [len(data)]
+    if ends[0] - 128 >= start and data[ends[0] - 128 : ends[0] - 125] == b"TAG":
+        ends.insert(0, ends[0] - 128)
+    for end in ends.copy():
+        if end - 32 >= start and data[end - 32 : end - 24] == b"APETAGEX":
+            size, flags = struct.unpack("<I", data[end - 20 : end - 16])[0], data[end - 9]
+            ends.append(end - size - 32 * bool(flags & 0x80))
+    return sorted({e for e in ends if e >= start})
+
+
+def _runs_to(data: bytes, at: int, end: int) -> bool:
+    """Whether frames of one kind follow one another from ``at`` to ``end`` exactly."""
+    kind = None
+    while at < end:
+        h = header(data[at : at + 4])
+        if not h or kind not in (None, (h.version, h.layer, h.rate)):
+            return False
+        kind = (h.version, h.layer, h.rate)
+        at += h.size
+    return at == end
 
 
 def read(data: bytes) -> Audio:
-    """What the file holds. An empty file, or one without frames, holds nothing."""
+    """What the file holds. An empty file, or one without frames, holds nothing.
+
+    What looks like a tag at the end is sound if frames run through it to its end.
+    """
     out = Audio()
-    at, end, kind = _read_tag(data, out), _end_of_sound(data), None
-    while at + 4 <= end:
+    at, kind = _read_tag(data, out), None
+    end, *later = _ends_of_sound(data, at)
+    while at <= end:
         h = header(data[at : at + 4])
-        fits = h and (kind is None or (h.version, h.layer, h.rate) == kind) and at + h.size <= end
+        fits = h and (kind is None or (h.version, h.layer, h.rate) == kind)
+        if fits and later and at + h.size > end and (reached := [e for e in later if _runs_to(data, at, e)]):
+            end = reached[0]
+            later = [e for e in later if e > end]
+        if at + 4 > end:
+            break
+        fits = fits and at + h.size <= end
         if fits and (kind is None or out.skipped) and at + h.size + 4 <= end:
             # a place that only looks like a header is seldom followed by another
             after = header(data[at + h.size : at + h.size + 4])

@@ -210,6 +210,22 @@ def test_media_round_trip(odd, empty, texts):
     assert mpeg_audio.read(bytes(flipped)).damaged == 1
 
 
+def test_media_that_look_like_tags():
+    cut = b"APETAGEX" + (2000).to_bytes(4, "little")
+    marks = [b"TAG", *(cut + n.to_bytes(4, "little") + bytes(16) for n in (32, 96, 168, 200, 10**6))]
+    for size in (64, 128, 192, 960, 1024, 2048):
+        for mark in marks:
+            for at in range(max(0, size - 160), size - len(mark) + 1):
+                payload = b"x" * at + mark + b"y" * (size - at - len(mark))
+                made = mpeg_audio.store(payload)
+                got = mpeg_audio.read(made)
+                assert (got.payload(), got.skipped, len(got.offsets)) == (payload, 0, got.table_frames)
+                real = cut + (32).to_bytes(4, "little") + bytes(16) + b"TAG" + bytes(125)
+                tagged = mpeg_audio.read(made + real)
+                assert (tagged.payload(), tagged.skipped, tagged.offsets) == (payload, 0, got.offsets)
+    assert mpeg_audio.read(mpeg_audio.store(b"TAG" * 320)).payload() == b"TAG" * 320
+
+
 def test_quality_on_held_out_rows(spark):
     found = queries.QUERIES["op9_quality_discriminant"](spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
