@@ -20,14 +20,19 @@ _EMAIL = r"[A-Za-z0-9._%+-]*[A-Za-z0-9]@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{
 _IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
 _PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-_CARD = r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]|\.\d)"
-_DAY = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w]|[./-]\d)"
+_DAY = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?=T\d{2}:?\d{2}|(?!\w|[./-]\d))"
 _CLOUD_KEY = r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)"
 _HEX_KEY = r"(?<!\w)[0-9a-f]{40}(?!\w)"
 _PASSWORD = r"(?<!\w)(?:password|passwd|secret|token|api_key)[=:][A-Za-z0-9]{6,}(?!\w)"
+#: Numbers with a blank or hyphen between them, 13 digits or more together, in which cards are looked for. Ends before
+#: what has digits of its own but cannot be told from its first numbers: days with slashes or a time, phones, addresses.
+_NUMBER = r"\d++(?!\w|\.\d|[\w.%+-]{0,64}@)"
+_OTHER = r"\d{2}/\d{2}/\d{4}|\d{4}-\d{2}-\d{2}T|\d{3}-\d{2}-\d{4}\.\d|\d{3}[ -]\d{3}(?:\.\d{4}|[ -]\d{4}\.\d)"
+_NUMBERS = rf"(?<![\w.])(?=\d(?:[ -]?\d){{12}}){_NUMBER}(?:[ -](?!{_OTHER}){_NUMBER})*+"
 
 #: Earlier kinds come first where several begin at the same place.
-PATTERN = "|".join([_EMAIL, _PASSWORD, _CLOUD_KEY, _HEX_KEY, _DAY, _SSN, _PHONE, _IPV4, _CARD])
+PATTERN = "|".join([_EMAIL, _PASSWORD, _CLOUD_KEY, _HEX_KEY, _DAY, _SSN, _PHONE, _IPV4, _NUMBERS])
+_IN_NUMBERS = "|".join([_HEX_KEY, _DAY, _SSN, _PHONE])
 
 _FIRST_DAY, _DAYS = "1900-01-01", 73049  # to 2099-12-31
 
@@ -124,6 +129,111 @@ def _card(text: Column, key: str) -> Column:
     return F.when(_luhn(digits) % 10 == 0, _laid_out(text, F.concat(body, last), "0-9")).otherwise(text)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _cards(numbers: Column) -> Column:
+    """Where cards lie in numbers: for each number how many from it on are a card, or 0.
+
+    A number alone and the usual groups come first, in any place; else the most
+    numbers that have 13 to 19 digits and a right check digit.
+    """
+
+    def valid(i: Column, n: Column) -> Column:
+        digits = F.array_join(F.slice(numbers, i, n), "")
+        return F.when(F.length(digits).between(13, 19), _luhn(digits) % 10 == 0).otherwise(False)
+
+    def usual(_: Column, i: Column) -> Column:
+        sizes = F.array_join(F.transform(F.slice(numbers, i + 1, F.lit(5)), F.length), " ")
+        out = F.when(valid(i + 1, F.lit(1)), 1)
+        for shape, n in (("^4 4 4 4( |$)", 4), ("^4 6 [45]( |$)", 3), ("^4 4 4 4 3$", 5)):
+            out = out.when(sizes.rlike(shape) & valid(i + 1, F.lit(n)), n)
+        return out.otherwise(0)
+
+    def longest(firsts: Column) -> Column:
+        def at(first: Column, i: Column) -> Column:
+            def free(n: Column) -> Column:
+                return valid(i + 1, n) & ~F.exists(F.slice(firsts, i + 1, n), lambda x: x > 0)
+
+            most = F.sequence(F.lit(1), F.least(F.lit(19), F.size(numbers) - i))
+            return F.when(first > 0, first).otherwise(F.coalesce(F.array_max(F.filter(most, free)), F.lit(0)))
+
+        return F.transform(firsts, at)
+
+    return _let(F.transform(numbers, usual), longest)
+
+
+def _cuts(numbers: Column) -> Column:
+    """``at`` and ``n``: where each card begins in the text of the numbers, and its length. None overlap."""
+
+    def taken(cards: Column) -> Column:
+        start = F.struct(
+            F.lit(1).alias("next"), F.lit(1).alias("at"), F.expr("cast(array() as array<struct<at: int, n: int>>)").alias("cuts")
+        )
+
+        def turn(state: Column, i: Column) -> Column:
+            n = F.get(cards, i - 1)
+            take = (i >= state["next"]) & (n > 0)
+            size = F.length(F.array_join(F.slice(numbers, i, n), " "))
+            one = F.array(F.struct(state["at"].alias("at"), size.alias("n")))
+            return F.struct(
+                F.when(take, i + n).otherwise(state["next"]).alias("next"),
+                (state["at"] + F.length(F.get(numbers, i - 1)) + 1).alias("at"),
+                F.when(take, F.concat(state["cuts"], one)).otherwise(state["cuts"]).alias("cuts"),
+            )
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(numbers)), start, turn, lambda end: end["cuts"])
+
+    return _let(_cards(numbers), taken)
+
+
+def _piece(text: Column, found: bool) -> Column:
+    return F.struct(text.alias("text"), F.lit(found).alias("found"))
+
+
+def _around(text: Column, pattern: str) -> Column:
+    """Pieces of the text: what the pattern finds, and what lies between."""
+    both = F.zip_with(
+        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda a, b: F.when(b.isNull(), F.array(_piece(a, False))).otherwise(F.array(_piece(a, False), _piece(b, True))),
+    )
+    return F.flatten(both)
+
+
+def _number_pieces(text: Column, before: Column, after: Column) -> Column:
+    """Pieces of a match of ``_NUMBERS``: cards, other personal data between them, and the rest.
+
+    ``before`` and ``after`` are what stands around it, as far as other kinds look at that.
+    """
+
+    def pieces(cuts: Column) -> Column:
+        def at(i: Column) -> Column:
+            last = F.get(cuts, i - 1)
+            begin = F.when(i > 0, last["at"] + last["n"]).otherwise(1)
+            own = F.get(cuts, i)
+            stop = F.when(i < F.size(cuts), own["at"]).otherwise(F.length(text) + 1)
+            left = F.when(i == 0, before).otherwise("")
+            right = F.when(i == F.size(cuts), after).otherwise("")
+            plain = _around(F.concat(left, F.substr(text, begin, stop - begin), right), _IN_NUMBERS)
+
+            def bare(all_: Column) -> Column:
+                def cut(p: Column, k: Column) -> Column:
+                    skip = F.when(k == 0, F.length(left)).otherwise(0)
+                    size = F.length(p["text"]) - skip - F.when(k == F.size(all_) - 1, F.length(right)).otherwise(0)
+                    return F.struct(F.substr(p["text"], skip + 1, size).alias("text"), p["found"].alias("found"))
+
+                return F.transform(all_, cut)
+
+            card = F.when(i < F.size(cuts), F.array(_piece(F.substr(text, own["at"], own["n"]), True)))
+            return F.concat(_let(plain, bare), F.coalesce(card, F.slice(F.array(_piece(F.lit(""), False)), 1, 0)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts)), at))
+
+    return _let(_let(F.split(text, "[ -]"), _cuts), pieces)
+
+
 def _phone(text: Column, key: str) -> Column:
     digits = _only(text, "0-9")
     country = F.substr(digits, F.lit(1), F.length(digits) - 10)
@@ -226,12 +336,22 @@ def pseudonymised(df: DataFrame, text: str = "text", key: str = "larkbeam", coun
     """
     row = df.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
     found = row.withColumn("_found", F.regexp_extract_all("_text", F.lit(PATTERN), F.lit(0)))
-    made = found.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    between = F.split("_text", PATTERN, -1)
-    joined = F.array_join(F.zip_with(between, "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    found = found.withColumn("_between", F.when(F.size("_found") > 0, F.split("_text", PATTERN, -1)))
+    numbers, other = rf"^(?:{_NUMBERS})$", rf"^(?:{_IN_NUMBERS})$"
+
+    def pieces(m: Column, i: Column) -> Column:
+        plain = F.get("_between", i)
+        before = F.regexp_extract(plain, "[-/+]$", 0)
+        after = F.regexp_extract(F.coalesce(F.get("_between", i + 1), F.lit("")), "^[-/].?", 0)
+        inside = F.when(m.rlike(numbers) & ~m.rlike(other), _number_pieces(m, before, after)).otherwise(F.array(_piece(m, True)))
+        return F.concat(F.array(_piece(plain, False)), inside)
+
+    last = F.array(_piece(F.element_at("_between", -1), False))
+    cut = found.withColumn("_pieces", F.when(F.size("_found") > 0, F.concat(F.flatten(F.transform("_found", pieces)), last)))
+    made = cut.withColumn("_new", F.transform("_pieces", lambda p: F.when(p["found"], pseudonym(p["text"], key)).otherwise(p["text"])))
+    changed = F.size(F.filter(F.zip_with("_pieces", "_new", lambda p, new: p["text"] != new), lambda x: x))
     done = made.select(
-        "_row", F.when(F.size("_found") > 0, joined).otherwise(F.col("_text")).alias("_text"),
+        "_row", F.when(F.size("_found") > 0, F.array_join("_new", "")).otherwise(F.col("_text")).alias("_text"),
         F.greatest(F.coalesce(changed, F.lit(0)), F.lit(0)).alias("_changed"),
     )
     columns = [F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in df.columns if c != count]

@@ -303,6 +303,35 @@ def test_pseudonyms(spark, odd, empty):
     assert re.fullmatch(r"AKIA[A-Z0-9]{16} password=[a-z0-9]{18}", got[5]) and got[5] != rows[5]
 
 
+def replaced(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = pseudonyms.pseudonymised(df, count="replaced").orderBy("doc_id").collect()
+    return [r.text for r in rows], [r.replaced for r in rows]
+
+
+def test_cards_and_days_among_other_numbers(spark):
+    card, parted, short = "4539578763621486", "4539 5787 6362 1486", "3782-822463-10005"
+    shapes = [
+        "{c}", "{c} 12/26", "{p} 123", "7 {c}", "12 345 {p} 12/26 123", "{c} {c}", "{c}-123", "no 4539578763621487 12 but {c}", "1 {s} 99",
+        "5 078-05-1120 {c} 988-555-2485 7", "{c} 24/12/2003", "{c} 1999-12-31T00:00:00Z", "{c} 988 555.2485", "{c} 10.0.0.255", "{c} 12 99@example.com",
+        "at 1999-12-31T00:00:00Z", "at 1999-12-31T0000", "x 1999-12-31Test", "078-05-1120 1", "X-078-05-1120 1234567",
+        " ".join(["1"] * 30000), " ".join([card] * 300),
+    ]
+    got, counts = replaced(spark, [t.format(c=card, p=parted, s=short) for t in shapes])
+    new = got[0]
+    as_parted = " ".join(new[i : i + 4] for i in range(0, 16, 4))
+    assert re.fullmatch(r"4\d{15}", new) and new != card and counts[:9] == [1, 1, 1, 1, 1, 2, 1, 1, 1]
+    for text, shape in zip(got[1:8], shapes[1:8]):
+        assert text == shape.format(c=new, p=as_parted)
+    assert re.fullmatch(r"1 3\d{3}-\d{6}-\d{5} 99", got[8]) and short not in got[8]
+    assert re.fullmatch(rf"5 \d{{3}}-\d\d-\d{{4}} {new} \d{{3}}-\d{{3}}-\d{{4}} 7", got[9]) and counts[9] == 3
+    assert "078-05-1120" not in got[9] and "988-555-2485" not in got[9]
+    assert all(t.startswith(new) for t in got[10:15]) and counts[10:15] == [2] * 5
+    assert re.fullmatch(r"at \d{4}-\d\d-\d\dT00:00:00Z", got[15]) and "1999-12-31" not in got[15] + got[16] + got[11]
+    assert got[17] == shapes[17] and counts[18] == 1 and got[19] == shapes[19]
+    assert got[21] == " ".join([new] * 300)
+
+
 PAGES = {
     None: "", "": "", "<p>": "", "just text": "just text", "<div><p>One, two.<p>Three &amp; four<br>five</div>": "One, two.\nThree & four five",
     "<body><nav><a href=x>Menu</a></nav><div id='sidebar'><p>Side, side, side, side, side</p></div><article><h1>T</h1><p>Long text, with commas, here.</p>"
