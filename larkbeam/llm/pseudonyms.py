@@ -22,8 +22,13 @@ _PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _DAY = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?=T\d{2}:?\d{2}|(?!\w|[./-]\d))"
 _CLOUD_KEY = r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)"
-_HEX_KEY = r"(?<!\w)[0-9a-f]{40}(?!\w)"
-_PASSWORD = r"(?<!\w)(?:password|passwd|secret|token|api_key)[=:][A-Za-z0-9]{6,}(?!\w)"
+_HEX_KEY = r"(?<!\w)[0-9A-Fa-f]{40}(?!\w)"
+# after a blank, letters alone are a word of prose or code unless they are quoted
+_GIVEN = r"""["']?[ \t]*+[=:][ \t]*+"""
+_PASSWORD = (
+    r"(?<!\w)(?i:password|passwd|secret|token|api_key)"
+    rf"""(?:[=:]|{_GIVEN}(?:["']|(?=[A-Za-z]*+\d)))[A-Za-z0-9]{{6,}}(?!\w)"""
+)
 #: Numbers with a blank or hyphen between them, 13 digits or more together, in which cards are looked for. Ends before
 #: what has digits of its own but cannot be told from its first numbers: days with slashes or a time, phones, addresses.
 _NUMBER = r"\d++(?!\w|\.\d|[\w.%+-]{0,64}@)"
@@ -290,8 +295,13 @@ def _blocks(plain: Column, radix: int, size: int, key: str, tweak: str) -> Colum
 
 
 def _key_text(text: Column, key: str, tweak: str, radix: int = 36) -> Column:
+    """The same for upper and lower case, but laid out in the case of the text."""
     plain = F.lower(_only(text, "A-Za-z0-9"))
-    return _laid_out(text, _blocks(plain, radix, 24 if radix == 36 else 30, key, tweak), "A-Za-z0-9")
+    new = _laid_out(text, _blocks(plain, radix, 24 if radix == 36 else 30, key, tweak), "A-Za-z0-9")
+    mixed = F.zip_with(F.split(text, ""), F.split(new, ""), lambda a, b: F.when(a.rlike("[A-Z]"), F.upper(b)).otherwise(b))
+    return (
+        F.when(~text.rlike("[A-Z]"), new).when(~text.rlike("[a-z]"), F.upper(new)).otherwise(F.array_join(mixed, ""))
+    )
 
 
 def _name(text: Column, key: str) -> Column:
@@ -306,16 +316,25 @@ def _name(text: Column, key: str) -> Column:
 def pseudonym(found: Column, key: str) -> Column:
     """What takes the place of one match of ``PATTERN``; the match itself if it is not valid."""
     name, at = F.substring_index(found, "@", 1), F.substring_index(found, "@", -1)
-    given = F.regexp_extract(found, "^[a-z_]+[=:]", 0)
+    given = F.regexp_extract(found, f"""^[A-Za-z_]+{_GIVEN}["']?""", 0)
     value = F.substr(found, F.length(given) + 1, F.length(found))
 
     def is_(pattern: str) -> Column:
         return found.rlike(f"^(?:{pattern})$")
 
+    def cloud(text: Column) -> Column:
+        return F.concat(F.lit("AKIA"), F.upper(_key_text(F.substr(text, F.lit(5), F.lit(16)), key, "cloud")))
+
+    # a key with a name before it is still the same key
+    secret = (
+        F.when(value.rlike(f"^{_CLOUD_KEY}$"), cloud(value))
+        .when(value.rlike(f"^{_HEX_KEY}$"), _key_text(value, key, "hex", 16))
+        .otherwise(_key_text(value, key, "secret"))
+    )
     return (
         F.when(is_(_EMAIL), F.concat(_name(name, key), F.lit("@"), at))
-        .when(is_(_PASSWORD), F.concat(given, _key_text(value, key, "secret")))
-        .when(is_(_CLOUD_KEY), F.concat(F.lit("AKIA"), F.upper(_key_text(F.substr(found, F.lit(5), F.lit(16)), key, "cloud"))))
+        .when(is_(_PASSWORD), F.concat(given, secret))
+        .when(is_(_CLOUD_KEY), cloud(found))
         .when(is_(_HEX_KEY), _key_text(found, key, "hex", 16))
         .when(is_(_DAY), _day(found, key))
         .when(is_(_SSN), _ssn(found, key))
@@ -332,7 +351,7 @@ def pseudonymised(df: DataFrame, text: str = "text", key: str = "larkbeam", coun
     place of one of that name. Null texts stay null with a count of 0, and empty
     ones empty. Equal values are replaced alike in all rows. Values keep their
     length, except that numbers of an IP address may get more or fewer digits.
-    Lower and upper case of mail names is not told apart.
+    Lower and upper case of mail names and of secrets is not told apart, but secrets keep theirs.
     """
     row = df.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
     found = row.withColumn("_found", F.regexp_extract_all("_text", F.lit(PATTERN), F.lit(0)))
