@@ -37,12 +37,19 @@ _DROPPED = {
 _KEPT = {"html", "body", "article", "main"}
 _DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "toolbar"}
 _DROPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adbox|adslot|banner|sponsor\w*|promo\w*|cookies?|cookiebar|consent|gdpr|notices?|alerts?|"
+    r"(?:ad|ads|adv|advert\w*|adsense|adbox|adslot|banner|sponsor\w*|promo\w*|cookies?|cookiebar|consent|gdpr|notices?|alerts?|"
     r"popup|modal|overlay|sidebar\w*|side|rail|menus?|nav|navbar|navigation|topbar|breadcrumbs?|toc|share|sharing|social|comments?|"
     r"commentlist|disqus|discussion|replies|reply|respond|footer|foot|header|masthead|related|recommend\w*|trending|"
-    r"newsletter|subscribe|subscription|signup|login|search|widgets?|pagination|pager|skip|hidden|copyright|legal)(?:$|[\s_-])",
+    r"newsletter|subscribe|subscription|signup|login|search|widgets?|pagination|pager|skip|hidden|copyright|legal)",
     re.I,
 )
+#: What may stand beside such a name in a class, as in site-header or related-posts; not has, no, with, article or content.
+_BESIDE = re.compile(
+    r"site|page|main|primary|secondary|global|top|bottom|left|right|mobile|desktop|sticky|fixed|list|box|bar|block|slot|unit|area|"
+    r"section|container|wrapper|wrap|inner|outer|links?|icons?|buttons?|btns?|posts?|items?|stories|form|policy|thread|\d+",
+    re.I,
+)
+_TALK = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|discussion|replies|reply|respond)(?:$|[\s_-])", re.I)
 #: What a start tag ends, up to the nearest of the elements that stand around it.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -61,6 +68,22 @@ class Element:
     score: float = 0.0
     letters: int = 0
     linked: int = 0
+    size: int = 0
+    pruned: bool = False
+
+    def names(self) -> str:
+        return f"{self.attributes.get('class', '')} {self.attributes.get('id', '')}"
+
+    def named(self) -> bool:
+        """Whether a class or the id is a name of what surrounds a text."""
+        if not self.attributes or self.tag in _KEPT or self.tag == "h1":
+            return False
+        for name in self.names().split():
+            parts = [p for p in re.split("[_-]+", name) if p]
+            known = [bool(_DROPPED_NAMES.fullmatch(p)) for p in parts]
+            if any(known) and all(k or _BESIDE.fullmatch(p) for k, p in zip(known, parts)):
+                return True
+        return False
 
     def dropped(self) -> bool:
         if self.tag in _DROPPED:
@@ -71,9 +94,7 @@ class Element:
         if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in _DROPPED_ROLES:
             return True
         style = a.get("style", "").replace(" ", "").lower()
-        if "display:none" in style or "visibility:hidden" in style:
-            return True
-        return bool(_DROPPED_NAMES.search(f"{a.get('class', '')} {a.get('id', '')}"))
+        return "display:none" in style or "visibility:hidden" in style
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -163,6 +184,34 @@ def parse(page: str) -> Element:
     return root
 
 
+def prune(root: Element) -> None:
+    """Marks what is no part of any text.
+
+    A class or an id does not count around the largest article or main, nor around more than half of the page's text, unless
+    an article or main beside it has a quarter as much, or it names comments.
+    """
+    left, stack = [], [root]
+    while stack:
+        e = stack.pop()
+        e.pruned = e is not root and e.dropped()
+        if not e.pruned:
+            left.append(e)
+            stack.extend(c for c in e.children if isinstance(c, Element))
+    for e in reversed(left):
+        e.size += sum(len(c.strip()) for c in e.children if isinstance(c, str))
+        if e.parent is not None:
+            e.parent.size += e.size
+    core = max((e for e in left if e.tag in ("article", "main") and e.size), key=lambda e: e.size, default=None)
+    around, e = set(), core
+    while e is not None:
+        around.add(id(e))
+        e = e.parent
+    for e in left:
+        if e is not root and id(e) not in around and e.named():
+            beside = core is not None and (4 * core.size >= e.size or bool(_TALK.search(e.names())))
+            e.pruned = beside or 2 * e.size <= root.size
+
+
 def _walk(root: Element) -> Iterator[tuple[Element | str, bool, bool]]:
     """Texts and elements left, in page order: each element before and after its content."""
     stack: list[tuple[Element | str, bool, bool]] = [(root, True, False)]
@@ -175,7 +224,7 @@ def _walk(root: Element) -> Iterator[tuple[Element | str, bool, bool]]:
             for child in reversed(node.children):
                 if isinstance(child, str):
                     stack.append((child, True, inside))
-                elif not child.dropped():
+                elif not child.pruned:
                     stack.append((child, True, inside))
 
 
@@ -240,7 +289,9 @@ def _density(e: Element) -> float:
 
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, one to a line; empty if there is none."""
-    found = blocks(parse(page or ""))
+    root = parse(page or "")
+    prune(root)
+    found = blocks(root)
     around = _scored(found)
     if not around:
         return ""
@@ -256,7 +307,7 @@ def main_text(page: str | None) -> str:
     if best.tag not in _KEPT and best.parent is not None:
         least = max(2.0, 0.2 * own[id(best)])
         for e in best.parent.children:
-            if isinstance(e, str) or e is best or e.dropped() or not e.letters:
+            if isinstance(e, str) or e is best or e.pruned or not e.letters:
                 continue
             plain = e.tag in _HEADINGS | {"p", "pre", "blockquote", "ul", "ol", "table"} and _density(e) < 0.25
             if plain or own.get(id(e), 0) >= least:

@@ -359,6 +359,20 @@ PAGES = {
 }
 
 
+WHOLE = "<p>A first paragraph, with commas, of the text.</p><p>A second one, as long, to be kept.</p>"
+WHOLE_TEXT = "A first paragraph, with commas, of the text.\nA second one, as long, to be kept."
+PAGES |= {f'<body><div class="{name}" id="{name}">{WHOLE}</div><div class="ad">Buy this, now</div>': WHOLE_TEXT for name in (
+    "layout has-sidebar", "no-sidebar", "content with-sidebar", "search-results legal", "legal", "search", "header",
+)}
+PAGES |= {f'<body><div class="{name}"><article><h1 class="article-header">T</h1>{WHOLE}</article></div>': f"T\n{WHOLE_TEXT}" for name in (
+    "layout has-sidebar", "sidebar", "search-results legal",
+)}
+PAGES |= {
+    f'<body><main>{WHOLE}<div class="{name}"><article>{"I agree, a lot, yes, very much so. " * count}</article></div></main>': WHOLE_TEXT
+    for name, count in (("comments", 20), ("comment-list", 20), ("related-posts", 1), ("site-footer", 1), ("cookie-notice", 1), ("social share", 1))
+}
+
+
 @pytest.mark.parametrize("page", list(PAGES))
 def test_main_text(page):
     assert html_text.main_text(page) == PAGES[page]
