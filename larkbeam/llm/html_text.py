@@ -3,7 +3,8 @@
 Blocks of text pass points to the elements around them, for being there, for
 their length and for their commas: all to the parent, half to its parent, and
 less further up. Links take points away. The element with the most points is the
-article; neighbours that score well or are plain paragraphs belong to it.
+article, or the article or main around it. Where there is none, whatever stands
+beside it or beside what is around it belongs to it, unless it is mostly links.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ _BLOCK = {
     "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html",
     "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: The share of a text in links from which on it is taken for a menu.
+_LINKED = 0.25
 _DROPPED = {
     "nav", "header", "footer", "aside", "form", "button", "select", "option", "label", "fieldset", "head", "script", "style",
     "noscript", "template", "iframe", "object", "embed", "svg", "math", "textarea", "title", "dialog", "menu", "canvas",
@@ -303,18 +305,27 @@ def main_text(page: str | None) -> str:
         while e is not None and e.tag not in ("article", "main"):
             e = e.parent
         best = e or best
-    chosen = {id(best)}
-    if best.tag not in _KEPT and best.parent is not None:
+    chosen, path_up = {id(best)}, set()
+    if best.tag not in _KEPT:
         least = max(2.0, 0.2 * own[id(best)])
-        for e in best.parent.children:
-            if isinstance(e, str) or e is best or e.pruned or not e.letters:
-                continue
-            plain = e.tag in _HEADINGS | {"p", "pre", "blockquote", "ul", "ol", "table"} and _density(e) < 0.25
-            if plain or own.get(id(e), 0) >= least:
-                chosen.add(id(e))
+        e = best
+        while e.parent is not None:
+            beside = [c for c in e.parent.children if c is not e]
+            path_up.add(id(e.parent))
+            while beside:
+                c = beside.pop()
+                if isinstance(c, str) or c.pruned or not c.letters:
+                    continue
+                if _density(c) < _LINKED or own.get(id(c), 0) >= least:
+                    chosen.add(id(c))
+                elif c.tag in ("div", "section", "center"):
+                    # its own text, and what in it is not mostly links
+                    path_up.add(id(c))
+                    beside.extend(c.children)
+            e = e.parent
     out = []
     inside: dict[int, bool] = {}
-    for holder, text, _ in found:
+    for holder, text, linked in found:
         if id(holder) not in inside:
             e, path = holder, []
             while e is not None and id(e) not in inside and id(e) not in chosen:
@@ -322,7 +333,7 @@ def main_text(page: str | None) -> str:
                 e = e.parent
             known = e is not None and (id(e) in chosen or inside[id(e)])
             inside.update(dict.fromkeys([*path, id(holder)], known))
-        if inside[id(holder)]:
+        if inside[id(holder)] or id(holder) in path_up and linked < _LINKED * len(text):
             out.append(text)
     return "\n".join(out)
 

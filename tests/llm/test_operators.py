@@ -373,6 +373,17 @@ PAGES |= {
 }
 
 
+LONG = "Three hundred characters, or so, of text, in one paragraph. " * 5
+PAGES |= {
+    f"<div id=c><div><p>{LONG}</p></div><div><p>Short end.</p></div></div>": f"{LONG.strip()}\nShort end.",
+    f"<body><div><div><div><p>{LONG}</p></div></div><div><p>Short end.</p></div>Loose end.</div><div><h2>T</h2></div>": f"{LONG.strip()}\nShort end.\nLoose end.\nT",
+    f"<body><div><p>Start.</p></div><div><p>{LONG}</p></div><div><ul><li><a>Home</a><li><a>Next</a></ul></div><div><span>End.</span></div>":
+        f"Start.\n{LONG.strip()}\nEnd.",
+    f"<body><div><p>{LONG}</p></div><div><p>Short, by.</p><div><a>A link, as long as any</a></div></div><div class=sidebar><p>Side.</p></div>":
+        f"{LONG.strip()}\nShort, by.",
+}
+
+
 @pytest.mark.parametrize("page", list(PAGES))
 def test_main_text(page):
     assert html_text.main_text(page) == PAGES[page]
