@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkbeam.operators.skew import as_number, flag_hot, hot_groups
 from larkbeam.operators.windows import running
 
 _KEEPS_LEFT = {"inner", "left", "left_semi", "left_anti"}
 
+#: The class of infinite points; those of intervals are exponents of a double.
+_INFINITE = -5000
+
 
 def salted_join(
     big: DataFrame,
@@ -89,15 +94,19 @@ def range_join(
 
     An interval is filed under the power of two at or above its length, where
     it touches at most two cells; a point looks in one cell for each length
-    class that occurs. Intervals are first cut to the range of the points, so
-    they may be open. Short and long intervals may be mixed, and the join
+    class that occurs. Intervals are first cut to the range of the finite points,
+    so they may be open. Infinite points look in a class of their own, which holds
+    the intervals that begin or end there. Short and long intervals may be mixed, and the join
     is an equi-join on the cell. Columns of the two sides, other than ``on``,
     must have different names.
     """
-    known = points.where(F.col(at).isNotNull())
-    low, high = known.agg(F.min(as_number(points, at)), F.max(as_number(points, at))).first()
+    known, number = points.where(F.col(at).isNotNull()), as_number(points, at)
+    finite = F.abs(number) < F.lit(math.inf)  # not true for NaN, which sorts last
+    low, high = known.where(finite).agg(F.min(number), F.max(number)).first()
+    low, high = (0.0, 0.0) if low is None else (low, high)
     first, last = as_number(intervals, start), as_number(intervals, end)
-    inside = (F.col(start) < F.col(end)) & (last >= F.lit(low)) & (first <= F.lit(high))
+    proper = F.col(start) < F.col(end)
+    inside = proper & (last >= F.lit(low)) & (first <= F.lit(high))
     first, last = F.greatest(first, F.lit(low)), F.least(last, F.lit(high))
     # large whole numbers next to one another may be the same double
     size = F.when(last > first, F.ceil(F.log2(last - first))).otherwise(0)
@@ -111,10 +120,18 @@ def range_join(
     if not classes:
         classes = [0]
     looked = (
-        points.where(F.col(at).isNotNull())
+        known.where(finite)
         .withColumn("_class", F.explode(F.array(*[F.lit(c) for c in classes])))
-        .withColumn("_cell", _cell(as_number(points, at)))
+        .withColumn("_cell", _cell(number))
     )
+    if isinstance(points.schema[at].dataType, T.FractionalType):
+        ends = [as_number(intervals, start) == F.lit(-math.inf), F.isnan(as_number(intervals, end))]
+        for cell, touches in enumerate(ends):  # all of these hold the infinite points of their side
+            filed = filed.union(
+                intervals.where(proper & touches).withColumn("_class", F.lit(_INFINITE)).withColumn("_cell", F.lit(cell).cast("bigint"))
+            )
+        side = F.when(number < 0, 0).otherwise(1).cast("bigint")
+        looked = looked.union(known.where(~finite).withColumn("_class", F.lit(_INFINITE)).withColumn("_cell", side))
     pairs = salted_join(looked, filed, [*on, "_class", "_cell"], "inner", rows_per_group)
     inside = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
     return pairs.where(inside).drop("_class", "_cell")

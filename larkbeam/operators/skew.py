@@ -161,7 +161,7 @@ def segmented(df: DataFrame, order: Sequence[str], hot: HotGroups) -> DataFrame:
 
 
 def as_number(df: DataFrame, name: str) -> Column:
-    """A double that sorts as the column does; nulls lowest."""
+    """A double that sorts as the column does; nulls lowest, and no negative zero, which sorts as zero does."""
     kind, column = df.schema[name].dataType, F.col(name)
     if isinstance(kind, T.TimestampNTZType):
         number = wall_micros(column)
@@ -173,7 +173,7 @@ def as_number(df: DataFrame, name: str) -> Column:
         number = column
     else:
         raise TypeError(f"cannot cut along {name}: {kind.simpleString()}")
-    return F.coalesce(number.cast("double"), F.lit(_LOWEST))
+    return F.coalesce(number.cast("double") + F.lit(0.0), F.lit(_LOWEST))
 
 
 def _equal_if_same_number(df: DataFrame, name: str) -> bool:

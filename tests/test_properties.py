@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -33,6 +33,7 @@ def frame(spark, rows):
 
 
 @FEW
+@example(rows=[(0, None), (0, -0.0), *[(0, None)] * 9, (0, 0.0)], descending=True, limit=1)
 @given(rows=ROWS, descending=st.booleans(), limit=st.integers(1, 9))
 def test_windows(spark, rows, descending, limit):
     df = frame(spark, rows)
@@ -93,3 +94,18 @@ def test_range_join(spark, points, ranges, limit):
         for j, (lo, n) in enumerate(ranges)
         if lo <= x < lo + n
     )
+
+
+ENDS = st.sampled_from([-1.0, 0.0, 2.5, float("inf"), float("-inf"), float("nan"), None])
+
+
+@FEW
+@example(points=[float("inf"), 1.0], ranges=[(float("-inf"), float("inf"))])
+@example(points=[float("-inf"), float("nan")], ranges=[(float("-inf"), float("nan"))])
+@given(points=st.lists(ENDS, max_size=12), ranges=st.lists(st.tuples(ENDS, ENDS), max_size=20))
+def test_range_join_with_infinite_ends(spark, points, ranges):
+    p = spark.createDataFrame(list(enumerate(points)), "p int, at double")
+    r = spark.createDataFrame([(j, lo, hi) for j, (lo, hi) in enumerate(ranges)], "r int, lo double, hi double")
+    got = sorted((row.p, row.r) for row in range_join(p, r, [], "at", "lo", "hi").collect())
+    plain = p.join(r, F.expr("lo < hi AND lo <= at AND at < hi")).collect()
+    assert got == sorted((row.p, row.r) for row in plain)
