@@ -57,3 +57,12 @@ def reduced_semi_join(df: DataFrame, keys: DataFrame, column: str, key: str, wor
     found = keys.select(F.col(key).alias("_bloom_key")).where("_bloom_key IS NOT NULL").distinct()
     passed = maybe_in(df, column, bloom(keys, key, words), words)
     return passed.join(found.hint("merge"), F.col(column) == F.col("_bloom_key"), "left_semi")
+
+
+def reduced_anti_join(df: DataFrame, keys: DataFrame, column: str, key: str, words: int = WORDS) -> DataFrame:
+    """The other rows of ``df``, those with a null ``column`` included. Most are not shuffled if the keys are few."""
+    found = keys.select(F.col(key).alias("_bloom_key")).where("_bloom_key IS NOT NULL").distinct()
+    words_table = bloom(keys, key, words)
+    passed = maybe_in(df, column, words_table, words)
+    rest = passed.join(found.hint("merge"), F.col(column) == F.col("_bloom_key"), "left_anti")
+    return maybe_in(df, column, words_table, words, negate=True).union(rest)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkbeam.functions.money import money, revenue
 from larkbeam.functions.times import wall_micros
 from larkbeam.operators.joins import asof_join, range_join, salted_join, sum_in_range
+from larkbeam.operators.overlap import overlap_join
 from larkbeam.plans.registry import query
 from larkbeam.plans.star import REVENUE
 from larkbeam.sources.tables import table
@@ -214,3 +215,50 @@ def views_before_purchase(spark: SparkSession, d: str) -> DataFrame:
         {"n_views": F.lit(1).cast("bigint"), "view_value": money("value")},
     )
     return sums.withColumn("view_value", F.col("view_value").cast("double"))
+
+
+@query(
+    "join_overlap",
+    """
+    WITH open AS (
+        SELECT o_custkey, o_orderkey, o_orderdate AS s, o_orderdate + to_days(CAST(5 + o_orderkey % 60 AS INTEGER)) AS e
+        FROM orders
+    )
+    SELECT a.o_custkey AS custkey, a.o_orderkey AS first_order, b.o_orderkey AS second_order,
+           greatest(a.s, b.s) AS both_from, least(a.e, b.e) AS both_to
+    FROM open a JOIN open b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.s < b.e AND b.s < a.e
+    """,
+)
+def orders_open_together(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of orders of a customer that are open at the same time, each for 5 to 64 days."""
+    until = F.expr("o_orderdate + make_dt_interval(cast(5 + o_orderkey % 60 AS int))")
+    open_ = table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey", "o_orderdate", until.alias("o_until"))
+    one = open_.select("custkey", F.col("o_orderkey").alias("first_order"), F.col("o_orderdate").alias("s"), F.col("o_until").alias("e"))
+    two = open_.select("custkey", F.col("o_orderkey").alias("second_order"), F.col("o_orderdate").alias("t"), F.col("o_until").alias("f"))
+    pairs = overlap_join(one, two, ["custkey"], "s", "e", "t", "f").where("first_order < second_order")
+    return pairs.select("custkey", "first_order", "second_order", F.greatest("s", "t").alias("both_from"), F.least("e", "f").alias("both_to"))
+
+
+@query(
+    "join_overlap_no_key",
+    """
+    WITH busy AS (
+        SELECT event_id, user_id, event_type, ts AS s, ts + to_seconds(CAST(60 * floor(value) AS BIGINT)) AS e
+        FROM events WHERE value >= 1
+    )
+    SELECT a.event_id AS error_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT b.user_id) AS BIGINT) AS users,
+           max(b.event_id) AS last_purchase
+    FROM busy a JOIN busy b ON a.event_type = 'error' AND b.event_type = 'purchase' AND a.s < b.e AND b.s < a.e
+    GROUP BY a.event_id
+    """,
+)
+def purchases_during_errors(spark: SparkSession, d: str) -> DataFrame:
+    """For each error, what is bought while it lasts; errors and purchases last minutes to hours."""
+    until = F.expr("ts + make_dt_interval(0, 0, cast(floor(value) AS int))")
+    busy = table(spark, d, "events").where("value >= 1").select("event_id", "user_id", "event_type", "ts", until.alias("until"))
+    errors = busy.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("ts").alias("s"), F.col("until").alias("e"))
+    bought = busy.where("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").alias("t"), F.col("until").alias("f"))
+    pairs = overlap_join(errors, bought, [], "s", "e", "t", "f")
+    return pairs.groupBy("error_id").agg(
+        F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.max("event_id").alias("last_purchase")
+    )

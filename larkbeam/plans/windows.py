@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkbeam.functions.money import money
 from larkbeam.functions.times import wall_micros
 from larkbeam.operators.joins import sum_in_range
+from larkbeam.operators.patterns import attempts
 from larkbeam.operators.skew import hot_groups
 from larkbeam.operators.windows import framed, ntile, ranks, row_numbers, running
 from larkbeam.plans.registry import query
@@ -248,3 +249,40 @@ def third_page_of_parts(spark: SparkSession, d: str) -> DataFrame:
         .offset(50)
         .limit(25)
     )
+
+
+@query(
+    "win_attempts",
+    """
+    WITH RECURSIVE numbered AS (
+        SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+        FROM events WHERE event_type IN ('view', 'click', 'purchase', 'error')
+    ), walk AS (
+        SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seen, CAST(NULL AS BIGINT) AS tried,
+               CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS over_seen, CAST(NULL AS BIGINT) AS over_tried,
+               CAST(NULL AS BIGINT) AS over_bought
+        FROM (SELECT DISTINCT user_id FROM numbered)
+        UNION ALL
+        SELECT w.user_id, n.rn,
+               CASE WHEN n.event_type = 'error' OR (n.event_type = 'purchase' AND w.tried IS NOT NULL) THEN NULL
+                    WHEN n.event_type = 'view' THEN coalesce(w.seen, n.event_id) ELSE w.seen END,
+               CASE WHEN n.event_type = 'error' OR (n.event_type = 'purchase' AND w.tried IS NOT NULL) THEN NULL
+                    WHEN n.event_type = 'click' AND w.seen IS NOT NULL THEN coalesce(w.tried, n.event_id) ELSE w.tried END,
+               w.nth + CAST((n.event_type = 'error' AND w.seen IS NOT NULL) OR (n.event_type = 'purchase' AND w.tried IS NOT NULL) AS BIGINT),
+               CASE WHEN n.event_type = 'error' OR (n.event_type = 'purchase' AND w.tried IS NOT NULL) THEN w.seen END,
+               CASE WHEN n.event_type = 'error' OR (n.event_type = 'purchase' AND w.tried IS NOT NULL) THEN w.tried END,
+               CASE WHEN n.event_type = 'purchase' AND w.tried IS NOT NULL THEN n.event_id END
+        FROM walk w JOIN numbered n ON n.user_id IS NOT DISTINCT FROM w.user_id AND n.rn = w.rn + 1
+    )
+    SELECT user_id, nth, over_bought IS NOT NULL AS complete, over_seen AS seen, over_tried AS tried, over_bought AS bought
+    FROM walk WHERE over_seen IS NOT NULL
+    UNION ALL
+    SELECT user_id, nth + 1, false, seen, tried, NULL FROM walk w
+    WHERE seen IS NOT NULL AND rn = (SELECT max(rn) FROM numbered n WHERE n.user_id IS NOT DISTINCT FROM w.user_id)
+    """,
+)
+def ways_to_a_purchase(spark: SparkSession, d: str) -> DataFrame:
+    """Every attempt of a user to go from a view over a click to a purchase, which an error ends."""
+    kind = F.col("event_type")
+    steps = {"seen": kind == "view", "tried": kind == "click", "bought": kind == "purchase"}
+    return attempts(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], steps, "event_id", kind == "error")

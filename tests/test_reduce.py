@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from larkbeam.operators.reduce import bloom, maybe_in, reduced_semi_join
+from larkbeam.operators.reduce import bloom, maybe_in, reduced_anti_join, reduced_semi_join
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +28,8 @@ def test_reduced_semi_join_is_the_plain_one(sides, words):
     got = reduced_semi_join(rows, keys, "k", "wanted", words)
     assert got.columns == rows.columns
     assert ids(got) == want
+    others = ids(rows.join(keys.where("wanted IS NOT NULL"), rows.k == keys.wanted, "left_anti"))
+    assert ids(reduced_anti_join(rows, keys, "k", "wanted", words)) == others
 
 
 def test_filter_loses_no_key_and_drops_most_others(sides):
