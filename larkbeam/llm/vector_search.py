@@ -1,7 +1,7 @@
 """Exact top-k search by inner product with a vector-approximation file.
 
 Every component is cut to a cell of one byte. Cells alone bound the score of a
-pair from both sides, which rules nearly all pairs out. Only the vectors left
+pair from both sides, with room for rounding, which rules nearly all pairs out. Only the vectors left
 are read exactly, those with the highest upper bounds first, until no bound of
 the others reaches the k-th score found.
 
@@ -16,78 +16,98 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema as _arrow
 
-from larkbeam.llm.batches import map_batches
+from larkbeam.llm.batches import small_batches
 from larkbeam.sources.files import rewritten
 
 SCALE = 1024
 CELLS = 256
 
-#: Components beyond this after scaling have no score that fits into a long.
-LARGEST = 1 << 28
+#: Vectors whose largest components differ by more bits than this have cells of their own.
+CLASS_BITS = 8
 
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
 _AT_ONCE = 64
+_EPS = float(np.finfo(np.float64).eps)
+_LONG = 1 << 63
 
-Marks = dict[int, tuple[np.ndarray, np.ndarray]]
+#: Lowest value and width of cells of each component, by length and class of vector.
+Marks = dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
 
 
-def scaled(vector: list | None) -> list[int] | None:
-    """``floor(1024 * x)`` of each component, or None if the vector takes no part."""
-    if vector is None or any(x is None for x in vector):
-        return None
-    x = np.floor(SCALE * np.array(vector, np.float64))
-    return x.astype(np.int64).tolist() if np.isfinite(x).all() and (abs(x) <= LARGEST).all() else None
+def scaled(vector: Column) -> Column:
+    """``floor(1024 * x)`` of each component as doubles, or null if the vector takes no part."""
+    x = vector.cast("array<double>")
+    finite = F.forall(x, lambda c: c.isNotNull() & (F.abs(c) < F.lit(float("inf"))))
 
+    def whole(c: Column) -> Column:
+        y = c * SCALE  # from 2 ** 52 on, doubles are whole
+        return F.when(F.abs(y) < F.lit(2.0**52), F.floor(y).cast("double")).otherwise(y)
 
-def _marks(vectors: DataFrame) -> Marks:
-    """Lowest value and width of cells of each component, by length of vector."""
+    return F.when(finite, F.transform(x, whole))
 
-    def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for v in batch.column(0).to_pylist():
-                own, x = found.get(len(v)), np.array(v, np.int64)
-                found[len(v)] = np.array([x, x]) if own is None else np.array([np.minimum(own[0], x), np.maximum(own[1], x)])
-        rows = [(d, i, int(a), int(b)) for d, own in found.items() for i, (a, b) in enumerate(own.T)]
-        names = ["dim", "i", "low", "high"]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=names
-        )
-
-    parts = vectors.select("v").mapInArrow(extremes, "dim long, i long, low long, high long")
-    whole = parts.groupBy("dim", "i").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    marks: Marks = {0: (np.zeros(0, np.int64), np.ones(0, np.int64))}
-    frame = whole.orderBy("dim", "i").toPandas()
-    for dim, own in frame.groupby("dim"):
+
+def _class(v: Column) -> Column:
+    bits = F.log2(F.array_max(F.transform(v, F.abs)))
+    return F.coalesce(F.floor(F.least(bits, F.lit(2000.0)) / CLASS_BITS), F.lit(-1)).cast("int")
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+
+
+def _marks(vectors: DataFrame) -> Marks:
+    at = F.posexplode("v").alias("i", "x")
+    ends = vectors.select("dim", "class", at).groupBy("dim", "class", "i").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    marks: Marks = {}
+    for (dim, size), own in ends.orderBy("dim", "class", "i").toPandas().groupby(["dim", "class"]):
         low, high = own["low"].to_numpy(), own["high"].to_numpy()
-        marks[int(dim)] = low, (high - low) // CELLS + 1
+        with np.errstate(over="ignore", invalid="ignore"):
+            marks[int(dim), int(size)] = low, np.maximum(high / CELLS - low / CELLS, _EPS)
     return marks
 
 
-def _approximated(vectors: DataFrame, marks: Marks) -> DataFrame:
-    def work() -> Callable[[list], list[tuple]]:
-        def cells(rows: list) -> list[tuple]:
-            out = []
-            for v in rows:
-                low, width = marks[len(v)]
-                out.append((((np.array(v, np.int64) - low) // width).astype(np.uint8).tobytes(),))
-            return out
+def _mark(marks: Marks, dim: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return marks.get((dim, size), (np.zeros(dim), np.ones(dim)))
+
+
+def cells_of(v: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore", invalid="ignore"):
+        at = np.nan_to_num((v - low) / width, nan=0.0)
+    return np.clip(at, 0, CELLS - 1).astype(np.uint8)
+
 
-        return cells
+def _approximated(vectors: DataFrame, marks: Marks) -> DataFrame:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, sizes = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            cells = np.empty(batch.num_rows, object)
+            for dim, size in {*zip(dims.tolist(), sizes.tolist())}:
+                own = np.flatnonzero((dims == dim) & (sizes == size))
+                found = cells_of(_matrix(batch.column(3).take(pa.array(own)), dim), *_mark(marks, dim, size))
+                cells[own] = [row.tobytes() for row in found]
+            made = pa.array(cells.tolist(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], made], names=["rid", "dim", "class", "cells"])
 
-    return map_batches(vectors, ["rid", "dim"], "v", work, "cells binary")
+    rows = small_batches(vectors).select("rid", "dim", "class", "v")
+    return rows.mapInArrow(cut, "rid long, dim int, class int, cells binary")
 
 
 def bounds(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest score of each query with any vector of each row of cells."""
-    # twice the middle of a cell, so that all is in whole numbers
-    middle = 2 * (low + cells * width) + width - 1
-    size = max(1, queries.shape[1]) * int(abs(queries).max(initial=0)) * int(abs(middle).max(initial=0) + width.max(initial=1))
-    kind = np.float64 if size < 1 << 52 else np.int64  # doubles hold these exactly
-    q = queries.astype(kind)
-    centre, reach = q @ middle.T.astype(kind), (abs(q) @ (width - 1).astype(kind))[:, None]
-    return ((centre - reach) // 2).astype(np.int64), (-((-centre - reach) // 2)).astype(np.int64)
+    """Numbers not above and not below the score of each query with any vector of each row of cells.
+
+    Sums are taken in doubles and widened by more than they can be off, as are the cells.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        most = abs(low) + CELLS * width
+        middle = low + (cells + 0.5) * width
+        size = abs(queries)
+        reach = size @ (0.5 * width + 8 * _EPS * most) + 4 * (queries.shape[1] + 8) * _EPS * (size @ most)
+        centre = queries @ middle.T
+        least, greatest = centre - reach[:, None] * (1 + 8 * _EPS), centre + reach[:, None] * (1 + 8 * _EPS)
+    return np.nan_to_num(least, nan=-np.inf, posinf=np.inf, neginf=-np.inf), np.nan_to_num(greatest, nan=np.inf, posinf=np.inf, neginf=-np.inf)
 
 
 def _meet(marks: Marks, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -95,26 +115,56 @@ def _meet(marks: Marks, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         out: list[tuple] = []
         if vectors.num_rows and queries.num_rows:
             dim = vectors.column("dim")[0].as_py()
-            low, width = marks[dim]
+            low, width = _mark(marks, dim, vectors.column("class")[0].as_py())
             rid = vectors.column("rid").to_numpy()
             raw = b"".join(vectors.column("cells").to_pylist())
-            cells = np.frombuffer(raw, np.uint8).reshape(len(rid), dim).astype(np.int64)
-            asked, own = queries.column("qid").to_numpy(), queries.column("v").to_pylist()
-            q = np.array(own, np.int64).reshape(len(own), dim)
+            cells = np.frombuffer(raw, np.uint8).reshape(len(rid), dim)
+            asked, q = queries.column("qid").to_numpy(), _matrix(queries.column("v"), dim)
             for at in range(0, len(q), _AT_ONCE):
                 least, most = bounds(q[at : at + _AT_ONCE], cells, low, width)
                 for i, (a, b) in enumerate(zip(least, most)):
                     others = rid != asked[at + i]
                     a, b, r = a[others], b[others], rid[others]
-                    bar = np.partition(a, -k)[-k] if len(a) > k else np.iinfo(np.int64).min
+                    bar = np.partition(a, -k)[-k] if len(a) > k else -np.inf
                     good = b >= bar
                     out.append((np.full(int(good.sum()), asked[at + i]), r[good], a[good], b[good]))
-        columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 4
+        columns = [np.concatenate(x) for x in zip(*out)] if out else [*[np.empty(0, np.int64)] * 2, *[np.empty(0)] * 2]
         return pa.table(dict(zip(("qid", "rid", "least", "most"), map(pa.array, columns))))
 
     return find
 
 
+def score(a: np.ndarray, b: np.ndarray) -> int:
+    """The inner product of whole numbers given as doubles, exactly."""
+    if a.shape[0] * float(abs(a).max(initial=0)) * float(abs(b).max(initial=0)) < 2.0**62:
+        return int(a.astype(np.int64) @ b.astype(np.int64))
+    return sum(int(x) * int(y) for x, y in zip(a.tolist(), b.tolist()))
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """``over`` and ``score``, the exact score of ``_v`` and ``_q``; ``reach``, a double not above it.
+
+    Where a long cannot hold the score, ``over`` is its sign.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for column in batch.columns[4:]:
+                edges, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+                sides.append([flat[a:b] for a, b in zip(edges[:-1], edges[1:])])
+            exact = [score(a, b) for a, b in zip(*sides)]
+            over = [(x >= _LONG) - (x < -_LONG) for x in exact]
+            fits = [0 if o else x for o, x in zip(over, exact)]
+            reach = [2.0**63 if o > 0 else -np.inf if o else np.nextafter(float(x), -np.inf) for o, x in zip(over, fits)]
+            made = [pa.array(over, pa.int32()), pa.array(fits, pa.int64()), pa.array(reach, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made], schema=_arrow(schema))
+
+    kept = pairs.select("qid", "query_id", "rid", "vec_id")
+    schema = kept.schema.add("over", "integer").add("score", "long").add("reach", "double")
+    return small_batches(pairs).select("qid", "query_id", "rid", "vec_id", "_v", "_q").mapInArrow(work, schema)
+
+
 def top_k(
     df: DataFrame, is_query: str, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
@@ -124,15 +174,15 @@ def top_k(
     ``vec_id``. All rows but the query's own are candidates; rows that repeat an
     id are rows of their own. Scores are inner products of ``floor(1024 * x)``,
     and ties go to the smaller id, nulls first. Vectors that are null or hold a
-    null or a number that is not finite take no part, nor do those with a
-    component beyond 2**18 (2**28 when scaled), whose scores a long cannot hold. A query
+    null or a number that is not finite take no part. Components may have any size: scores are exact,
+    and a score among the best that a long cannot hold raises an error, as does a component
+    that a double cannot hold 1024 times. A query
     meets vectors of its own length; an empty one scores 0. A query without
-    others has no rows. Other columns are ignored.
+    others has no rows. Other columns are ignored. An empty table gives an empty one.
     """
-    named = df.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("x"))
-    made = map_batches(named, ["vec_id"], "x", lambda: lambda rows: [(scaled(v),) for v in rows], "v array<long>")
-    made = made.where("v IS NOT NULL").withColumn("dim", F.size("v"))
-    rows = rewritten(made.withColumn("rid", F.monotonically_increasing_id()), name="vectors")
+    made = df.select(F.col(vec_id).alias("vec_id"), scaled(F.col(vector)).alias("v")).where("v IS NOT NULL")
+    made = made.withColumns({"dim": F.size("v"), "class": _class(F.col("v")), "rid": F.monotonically_increasing_id()})
+    rows = rewritten(made, name="vectors")
     queries = rows.where(is_query).select(F.col("rid").alias("qid"), F.col("vec_id").alias("query_id"), "dim", "v")
     # of equal vectors only the first can be among the best: k, and one if the query is among them
     first = Window.partitionBy("dim", "v").orderBy("vec_id", "rid")
@@ -148,10 +198,13 @@ def top_k(
 
     left = cells.withColumn("vb", F.pmod(F.xxhash64("rid"), F.lit(vector_blocks))).withColumn("qb", every(query_blocks))
     right = queries.select("qid", "dim", "v", F.pmod(F.xxhash64("qid"), F.lit(query_blocks)).alias("qb"))
-    right = right.withColumn("vb", every(vector_blocks))
-    keys = ["dim", "qb", "vb"]
+    # a query meets every class of its length; there are at most some 130 of them
+    classes = cells.select(F.col("dim").alias("_dim"), F.col("class").alias("_class")).distinct()
+    met_by = right.join(classes, F.col("dim") == F.col("_dim"))
+    right = met_by.select("qid", "v", "qb", F.col("_dim").alias("dim"), F.col("_class").alias("class"), every(vector_blocks).alias("vb"))
+    keys = ["dim", "class", "qb", "vb"]
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        _meet(marks, k), "qid long, rid long, least long, most long"
+        _meet(marks, k), "qid long, rid long, least double, most double"
     )
     met = rewritten(met, name="met")
 
@@ -167,13 +220,13 @@ def top_k(
     exact, asked = able.select("rid", "vec_id", F.col("v").alias("_v")), queries.select("qid", "query_id", F.col("v").alias("_q"))
 
     def read(some: DataFrame) -> DataFrame:
-        product = F.aggregate(F.zip_with("_v", "_q", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
-        both = some.join(exact, "rid").join(asked, "qid")
-        return both.select("qid", "query_id", "rid", "vec_id", product.alias("score"))
+        return _scored(some.join(exact, "rid").join(asked, "qid"))
 
     near = rewritten(read(waves.where(F.col("_n") <= k)), name="near")
-    reached = near.groupBy("qid").agg(F.when(F.count("*") == k, F.min("score")).alias("reached"))
+    reached = near.groupBy("qid").agg(F.when(F.count("*") == k, F.min("reach")).alias("reached"))
     rest = waves.where(F.col("_n") > k).join(reached, "qid").where("reached IS NULL OR most >= reached")
     scored = near.union(read(rest))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id", "rid"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("over"), F.desc("score"), "vec_id", "rid"))
+    best_of = scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    fits = F.when(F.col("over") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score does not fit into a long")).cast("long"))
+    return best_of.select("query_id", "rank", "vec_id", fits.alias("score"))
