@@ -27,12 +27,17 @@ from larkbeam.llm.batches import map_batches, per_worker
 from larkbeam.llm.components import components
 from larkbeam.llm.shingles import Circulant, band_hashes, shingle_sets
 from larkbeam.llm.spans import slices
+from larkbeam.operators.reduce import reduced_semi_join
 from larkbeam.sources.files import rewritten
 
 BANDS, ROWS = 40, 6
 
-#: Classes that are compared with one another in one task.
-BLOCK = 1000
+#: Classes that are compared with one another in one task, and shingles of them; either makes a new block.
+BLOCK, SHINGLES = 1000, 1 << 20
+
+#: Words of 64 bits of each class that are compared together, and classes.
+STRETCH = 256
+ROWS_AT_ONCE = 512
 
 
 def _key(shingles: np.ndarray) -> bytes:
@@ -71,6 +76,33 @@ def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
     return nodes, parts, size, flat
 
 
+def _by_bits(rows: np.ndarray, number: np.ndarray, owner: np.ndarray, same: np.ndarray) -> None:
+    """Add to ``same`` how many of the numbered shingles ``rows`` and every class have in common.
+
+    Sets are rows of bits, 64 shingles to a word, of which a stretch of words is looked at together.
+    """
+    for base in range(0, int(number.max(initial=-1)) + 1, 64 * STRETCH):
+        own = np.flatnonzero((number >= base) & (number < base + 64 * STRETCH))
+        place = number[own] - base
+        bits = np.zeros((same.shape[1], STRETCH), np.uint64)
+        np.bitwise_or.at(bits, (owner[own], place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+        bits = bits[:, bits.any(axis=0)]
+        for i, row in enumerate(rows.tolist()):
+            same[i] += np.bitwise_count(bits & bits[row]).sum(axis=1, dtype=np.int32)
+
+
+def _by_lists(rows: np.ndarray, number: np.ndarray, owner: np.ndarray, same: np.ndarray) -> None:
+    """The same from lists of the classes of each shingle, which is less work where these are short."""
+    n = same.shape[1]
+    order = np.argsort(number, kind="stable")
+    has, count = owner[order], np.bincount(number)
+    begin = np.cumsum(count) - count
+    upto = np.append(0, np.cumsum(np.bincount(owner, minlength=n)))
+    for i, row in enumerate(rows.tolist()):
+        own = number[upto[row] : upto[row + 1]]
+        same[i] += np.bincount(has[slices(count[own], begin[own])], minlength=n).astype(np.int32)
+
+
 def links_of_group(percent: int) -> Callable[[pa.Table], pa.Table]:
     """Links between classes of different parts among the rows of a group.
 
@@ -80,43 +112,44 @@ def links_of_group(percent: int) -> Callable[[pa.Table], pa.Table]:
 
     def find(group: pa.Table) -> pa.Table:
         nodes, parts, size, flat = _columns(group)
-        owner = np.repeat(np.arange(len(nodes)), size)
-        order = np.argsort(flat, kind="stable")
-        word, has = flat[order], owner[order]
-        edge = np.concatenate([[True], word[1:] != word[:-1]])
-        begin = np.flatnonzero(edge)
-        count = np.diff(np.append(begin, len(word)))
-        number = np.empty(len(flat), np.int64)
-        number[order] = np.cumsum(edge) - 1
-        upto = np.cumsum(size)
         names, members = np.unique(parts, return_counts=True)
-        largest = names[np.argmax(members)]
+        rows = np.flatnonzero(parts != names[np.argmax(members)])
+        _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(nodes)), size)
+        # shingles of one class only are in no intersection
+        often = 64 * count >= len(nodes)
+        kinds = [((count > 1) & often, _by_bits), ((count > 1) & ~often, _by_lists)]
         found: list[tuple[int, int]] = []
-        for i in np.flatnonzero(parts != largest).tolist():
-            own = number[upto[i] - size[i] : upto[i]]
-            same = np.bincount(has[slices(count[own], begin[own])], minlength=len(nodes))
-            good = (100 * same >= percent * (size + size[i] - same)) & (parts != parts[i])
-            hits = np.flatnonzero(good)
-            _, first = np.unique(parts[hits], return_index=True)
-            found += [(int(nodes[i]), int(nodes[j])) for j in hits[first]]
+        for at in range(0, len(rows), ROWS_AT_ONCE):
+            some = rows[at : at + ROWS_AT_ONCE]
+            overlaps = np.zeros((len(some), len(nodes)), np.int32)
+            for kind, add in kinds:
+                taken = kind[number]
+                if taken.any():
+                    add(some, (np.cumsum(kind) - 1)[number[taken]], owner[taken], overlaps)
+            for i, same in zip(some.tolist(), overlaps):
+                good = (100 * same >= percent * (size + size[i] - same)) & (parts != parts[i])
+                hits = np.flatnonzero(good)
+                _, first = np.unique(parts[hits], return_index=True)
+                found += [(int(nodes[i]), int(nodes[j])) for j in hits[first]]
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return find
 
 
-def _pieces(n: Column) -> Column:
-    return F.ceil(n / F.lit(BLOCK)).cast("int")
+def _pieces(n: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(n / F.lit(BLOCK), shingles / F.lit(SHINGLES))).cast("int")
 
 
 def _led(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Which of the pairs (lead, nid) are links. A lead's pairs are dealt to blocks."""
-    sizes = pairs.groupBy("lead").agg(F.count("*").alias("_n"))
-    spread = F.pmod(F.xxhash64("nid"), _pieces(F.col("_n"))).cast("int")
+    sizes = pairs.groupBy("lead").agg(_pieces(F.count("*"), F.sum("n")).alias("_n"))
+    spread = F.pmod(F.xxhash64("nid"), F.col("_n")).cast("int")
     # the lead forms the larger part, so that only the others are compared with it
     others = pairs.join(sizes, "lead").select("lead", spread.alias("block"), "nid", F.lit(0).alias("part"))
     leads = sizes.select(
-        "lead", F.explode(F.sequence(F.lit(0), _pieces(F.col("_n")) - 1)).alias("block"),
+        "lead", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("block"),
         F.col("lead").alias("nid"), F.lit(1).alias("part"),
     )
     rows = others.union(leads).join(sets, "nid")
@@ -139,7 +172,7 @@ def _led(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the components that meet in a bucket."""
     parts = members.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select(
-        "bucket", "nid", F.coalesce("label", "nid").alias("part")
+        "bucket", "nid", "n", F.coalesce("label", "nid").alias("part")
     )
     parts = rewritten(parts, name="parts")
     counts = parts.groupBy("bucket", "part").agg(F.count("*").alias("_n"))
@@ -148,11 +181,10 @@ def _crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     )
     open_ = several.where("_parts > 1").select("bucket", "main")
     # buckets with the same main component are worked on together, as they mostly hold the same
-    met = rewritten(parts.join(open_, "bucket").select("main", "nid", "part").distinct(), name="met")
-    sizes = met.groupBy("main").agg(F.count("*").alias("_n"))
-    n = _pieces(F.col("_n"))
+    met = rewritten(parts.join(open_, "bucket").select("main", "nid", "n", "part").distinct(), name="met")
+    sizes = met.groupBy("main").agg(_pieces(F.count("*"), F.sum("n")).alias("_n"))
     dealt = met.join(sizes, "main").select(
-        "main", "nid", "part", n.alias("_n"), F.pmod(F.xxhash64("nid"), n).cast("int").alias("_i")
+        "main", "nid", "part", "_n", F.pmod(F.xxhash64("nid"), F.col("_n")).cast("int").alias("_i")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_j")
     cells = dealt.select("main", "nid", "part", "_i", other).select(
@@ -186,22 +218,23 @@ def near_duplicates(
     classes = (
         signed.where("n_shingles > 0")
         .groupBy("key")
-        .agg(F.min("doc_id").alias("first"), F.any_value("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("first"), F.any_value("bands").alias("bands"), F.max("n_shingles").cast("int").alias("n"))
         .withColumn("nid", F.monotonically_increasing_id())
     )
     classes = rewritten(classes, name="classes")
     named = classes.where("first IS NOT NULL")
-    entries = named.select("nid", F.explode("bands").alias("bucket"))
+    entries = named.select("nid", "n", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("nid").alias("lead"), F.max("nid").alias("_last"))
     shared = shared.where("lead < _last").select("bucket", "lead")
     members = rewritten(entries.join(shared, "bucket"), name="members")
-    pairs = rewritten(members.where("nid != lead").select("lead", "nid").distinct(), name="pairs")
+    pairs = rewritten(members.where("nid != lead").select("lead", "nid", "n").distinct(), name="pairs")
 
     candidates = members.select("nid").distinct().join(named.select("nid", "key", "first"), "nid")
     candidates = rewritten(candidates, name="candidates")
     source = df.select(F.col(doc_id).alias("first"), F.col(text).alias("text"))
-    # candidates grow with the corpus, so they are never broadcast
-    texts = source.join(candidates.select("first").distinct().hint("merge"), "first", "left_semi")
+    # candidates grow with the corpus, so they are never broadcast; a filter of bounded size
+    # keeps most other texts away from the shuffle
+    texts = reduced_semi_join(source, candidates, "first", "first")
     sets = _sets(texts, width).join(candidates.select("nid", "key"), "key").dropDuplicates(["nid"])
     sets = rewritten(sets.select("nid", "shingles"), name="sets")
 
