@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from larkbeam.llm.batches import filter_batches, held_out, map_batches
 from larkbeam.llm.spans import span_hashes, spans
+from larkbeam.operators.reduce import bloom, maybe_in
 from larkbeam.sources.files import rewritten
 
 _BYTES = {
@@ -184,7 +185,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose score is 0.5 or more, with all their columns."""
-    model = train(document_statistics(docs), _known(labels, "quality"))
+    known = _known(labels, "quality")
+    # statistics are worked out before the shuffle, of labelled texts and few others
+    model = train(document_statistics(maybe_in(docs, "doc_id", bloom(known, "doc_id"))), known)
 
     def work() -> Callable[[list], Sequence[bool]]:
         def good(texts: list) -> np.ndarray:

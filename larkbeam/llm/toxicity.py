@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from larkbeam.llm.batches import filter_batches, held_out, map_batches, slices_of
 from larkbeam.llm.spans import mixed, span_hashes, spans
+from larkbeam.operators.reduce import bloom, maybe_in
 from larkbeam.sources.files import rewritten
 
 #: Bits of a feature's number.
@@ -128,8 +129,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Ordinal:
     """
     known = labels.where(~held_out("doc_id") & F.col("toxic").isin(0, 1))
     known = known.select("doc_id", F.col("toxic").cast("int").alias("label")).distinct()
-    # labels grow with the corpus, so they are never broadcast
-    labelled = docs.select("doc_id", "text").join(known.hint("merge"), "doc_id")
+    # labels grow with the corpus, so they are never broadcast; a filter of bounded size leaves out most other texts
+    read = maybe_in(docs.select("doc_id", "text"), "doc_id", bloom(known, "doc_id"))
+    labelled = read.join(known.hint("merge"), "doc_id")
     labelled = rewritten(labelled, name="labelled")
     sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
