@@ -9,10 +9,11 @@ through every stage as the stage's operator states.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkbeam.llm import minhash, packing, pseudonyms, quality, toxicity
+from larkbeam.operators.reduce import reduced_anti_join
 from larkbeam.sources.files import rewritten
 from larkbeam.sources.tables import table
 
@@ -28,20 +29,17 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words a shingle, similarity 0.8 or more.
+    """One row of each group of near copies: five words a shingle, similarity 0.8 or more.
 
-    Of rows with the same id one stays, and so does every row without an id.
+    Rows are told apart by a number of their own, so ids may be null or repeat.
     """
-    found = rewritten(minhash.near_duplicates(docs, width=5, percent=80), name="near")
-    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.where("doc_id IS NOT NULL").select(
-        F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_order")
-    )
-    # ids grow with the corpus, so they are never broadcast; the window uses the join's partitions
-    met = rows.join(kept.hint("merge"), F.col("_id") == F.col("_kept"))
-    nth = F.row_number().over(Window.partitionBy("_id").orderBy("_order"))
-    once = met.withColumn("_nth", nth).where("_nth = 1").select("_row.*")
-    return once.union(docs.where("doc_id IS NULL"))
+    number = "_row_number"
+    while number in docs.columns:
+        number += "_"
+    numbered = rewritten(docs.withColumn(number, F.monotonically_increasing_id()), name="numbered")
+    found = minhash.near_duplicates(numbered, doc_id=number, width=5, percent=80)
+    gone = rewritten(found.where("NOT kept").select("doc_id"), name="near")
+    return reduced_anti_join(numbered, gone, number, "doc_id").select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
