@@ -1,17 +1,22 @@
 """Token counts that follow edits, by a tree of counted segments for each document.
 
-A text is cut where white space follows a visible ASCII character: no
-pre-token reaches across such a place, so segments are counted apart and a
+A text is cut where white space follows another character, or where letters, numbers and
+other characters meet: no pre-token reaches across such a place, so segments are counted apart and a
 tree holds the sums. An edit is found by going down the tree, and only the
 segments that it touches are encoded again, with the neighbour where a cut is no
-longer such a place. Then the sums above them are brought up to date.
+longer such a place. Then the sums above them are brought up to date. A tree with no room
+for the new segments is laid out anew, which encodes nothing.
+
+A run of letters, of numbers or of other characters is one pre-token, however long, and is encoded whole.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
+import unicodedata
 from collections.abc import Callable
 
 import public_tokenizers
@@ -22,9 +27,31 @@ from pyspark.sql import functions as F
 from larkbeam.llm.batches import map_batches, per_worker
 
 #: Characters of a segment, about.
-SEGMENT = 96
+SEGMENT = 32
+
+
+
+def _kind(code: int) -> str:
+    """L for letters, N for numbers, O for other visible characters, if they have been so since Unicode 3.2."""
+    now, then = (db.category(chr(code))[0] for db in (unicodedata, unicodedata.ucd_3_2_0))
+    return "" if now != then else now if now in "LN" else "O" if now in "PSM" else ""
+
+
+def _cuts() -> str:
+    ranges: dict[str, str] = {"L": "", "N": "", "O": ""}
+    for kind, run in itertools.groupby(range(0x21, 0x10000), _kind):
+        if kind:
+            codes = list(run)
+            ranges[kind] += f"\\u{codes[0]:04x}-\\u{codes[-1]:04x}"
+    letter, number, other = ranges.values()
+    # after an apostrophe, letters may belong to it
+    return (
+        f"(?<=[{letter}{number}{other}])(?=[ \n])|(?<=[{letter}])(?=[{number}{other}])|"
+        f"(?<=[{number}])(?=[{letter}{other}])|(?<=[{other}])(?<!')(?=[{letter}{number}])"
+    )
+
 
-_CUT = re.compile("(?<=[!-~])(?=[ \n])")
+_CUT = re.compile(_cuts())
 
 
 def _encoding(path: str) -> tiktoken.Encoding:
@@ -56,19 +83,26 @@ class CountedText:
 
     def __init__(self, text: str, count: Callable[[str], int]):
         self._count, self.encoded = count, 0
-        self._parts = segments(text)
-        self._size = 1 << (len(self._parts) - 1).bit_length()
+        self._lay_out([self._counted(part) for part in segments(text)])
+        self.at_first = self.encoded
+
+    def _counted(self, part: str) -> tuple[str, int]:
+        self.encoded += len(part)
+        return part, self._count(part) if part else 0
+
+    def _lay_out(self, counted: list[tuple[str, int]]) -> None:
+        """A tree over the segments, with a free place after each."""
+        self._size = 2 << (len(counted) - 1).bit_length()
+        self._parts = [""] * self._size
         self._chars, self._tokens = [0] * (2 * self._size), [0] * (2 * self._size)
-        for i in range(len(self._parts)):
-            self._weigh(i)
+        for i, one in enumerate(counted):
+            self._put(2 * i, *one)
         for i in range(self._size - 1, 0, -1):
             self._add_up(i)
-        self.at_first = self.encoded
 
-    def _weigh(self, i: int) -> None:
-        part = self._parts[i]
-        self.encoded += len(part)
-        self._chars[self._size + i], self._tokens[self._size + i] = len(part), self._count(part) if part else 0
+    def _put(self, i: int, part: str, tokens: int) -> None:
+        self._parts[i] = part
+        self._chars[self._size + i], self._tokens[self._size + i] = len(part), tokens
 
     def _add_up(self, i: int) -> None:
         self._chars[i] = self._chars[2 * i] + self._chars[2 * i + 1]
@@ -103,25 +137,28 @@ class CountedText:
         last, last_begin = self._find(max(start, end - 1))
         if last < first:
             last, last_begin = first, begin
-        head = self._parts[first][: start - begin]
-        changed = head + new + self._parts[last][end - last_begin :]
+        stop = last_begin + len(self._parts[last])
+        changed = self._parts[first][: start - begin] + new + self._parts[last][end - last_begin :]
         # take in neighbours until both ends are places where segments may be cut
-        while True:
-            before = next((i for i in range(first - 1, -1, -1) if self._parts[i]), None)
-            if before is None or changed and _CUT.search(self._parts[before][-1] + changed[0]):
+        while begin:
+            before, at = self._find(begin - 1)
+            if changed and _CUT.search(self._parts[before][-1] + changed[0]):
                 break
-            changed, first = self._parts[before] + changed, before
-        while True:
-            after = next((i for i in range(last + 1, len(self._parts)) if self._parts[i]), None)
-            if after is None or changed and _CUT.search(changed[-1] + self._parts[after][0]):
+            changed, first, begin = self._parts[before] + changed, before, at
+        while stop < self.length:
+            after, at = self._find(stop)
+            if changed and _CUT.search(changed[-1] + self._parts[after][0]):
                 break
-            changed, last = changed + self._parts[after], after
-        pieces = segments(changed)
-        room = last - first + 1
-        pieces[room - 1 :] = ["".join(pieces[room - 1 :])] if len(pieces) >= room else []
+            changed, last, stop = changed + self._parts[after], after, at + len(self._parts[after])
+        pieces = [self._counted(part) for part in segments(changed)]
+        while len(pieces) > last - first + 1 and last + 1 < self._size and not self._parts[last + 1]:
+            last += 1  # a free place
+        if len(pieces) > last - first + 1:
+            leaves = list(zip(self._parts, self._tokens[self._size :]))
+            self._lay_out([leaf for leaf in leaves[:first] + pieces + leaves[last + 1 :] if leaf[0]] or [("", 0)])
+            return
         for i in range(first, last + 1):
-            self._parts[i] = pieces[i - first] if i - first < len(pieces) else ""
-            self._weigh(i)
+            self._put(i, *(pieces[i - first] if i - first < len(pieces) else ("", 0)))
         low, high = (self._size + first) // 2, (self._size + last) // 2
         while low:
             for i in range(low, high + 1):
@@ -137,7 +174,7 @@ def edited_counts(df: DataFrame, keep: list[str], text: str, edits: str, path: s
     places beyond the text count as its end. ``encoded_again`` is how many
     characters had to be encoded for them. Null texts count as empty, null
     arrays as no edits, and null fields as 0 or no text. Equal rows give equal
-    rows. Other columns are ignored.
+    rows. Other columns are ignored. An empty table gives an empty one. Texts of any length are followed whole.
     """
     both = df.select(*keep, F.struct(F.col(text).alias("text"), F.col(edits).alias("edits")).alias("_both"))
 
