@@ -20,6 +20,7 @@ from larkbeam.llm.batches import map_batches
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)")
+_COMMENT_END = re.compile(r"(?<=<!)--?-?>|--!?>")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -32,7 +33,7 @@ _BLOCK = {
 #: The share of a text in links from which on it is taken for a menu.
 _LINKED = 0.25
 _DROPPED = {
-    "nav", "header", "footer", "aside", "form", "button", "select", "option", "label", "fieldset", "head", "script", "style",
+    "nav", "header", "footer", "aside", "form", "button", "select", "option", "label", "head", "script", "style",
     "noscript", "template", "iframe", "object", "embed", "svg", "math", "textarea", "title", "dialog", "menu", "canvas",
     "audio", "video", "map", "input",
 }
@@ -51,6 +52,15 @@ _BESIDE = re.compile(
     r"section|container|wrapper|wrap|inner|outer|links?|icons?|buttons?|btns?|posts?|items?|stories|form|policy|thread|\d+",
     re.I,
 )
+#: Names that an article's own parts have too: within one, they count only where there is no prose.
+_AMBIGUOUS = re.compile(
+    r"search|legal|discussion|side|rail|header|toc|replies|reply|respond|login|overlay|banner|copyright|trending|"
+    r"side\w*(?<!bar)|skip|pager|signup|alerts?|menus?|foot",
+    re.I,
+)
+#: Letters outside links from which on a part is taken for prose.
+_PROSE = 40
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _TALK = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|discussion|replies|reply|respond)(?:$|[\s_-])", re.I)
 #: What a start tag ends, up to the nearest of the elements that stand around it.
 _ENDS = {
@@ -76,19 +86,29 @@ class Element:
     def names(self) -> str:
         return f"{self.attributes.get('class', '')} {self.attributes.get('id', '')}"
 
-    def named(self) -> bool:
-        """Whether a class or the id is a name of what surrounds a text."""
-        if not self.attributes or self.tag in _KEPT or self.tag == "h1":
+    def named(self, within: bool = False) -> bool:
+        """Whether a class or the id is a name of what surrounds a text.
+
+        ``within`` an article, a name that its own parts may have too does not count.
+        """
+        if not self.attributes or self.tag in _KEPT or self.tag in _HEADINGS:
             return False
         for name in self.names().split():
             parts = [p for p in re.split("[_-]+", name) if p]
             known = [bool(_DROPPED_NAMES.fullmatch(p)) for p in parts]
             if any(known) and all(k or _BESIDE.fullmatch(p) for k, p in zip(known, parts)):
-                return True
+                if not within or any(k and not _AMBIGUOUS.fullmatch(p) for k, p in zip(known, parts)):
+                    return True
         return False
 
+    def within(self, tags: set[str]) -> bool:
+        e = self.parent
+        while e is not None and e.tag not in tags:
+            e = e.parent
+        return e is not None
+
     def dropped(self) -> bool:
-        if self.tag in _DROPPED:
+        if self.tag in _DROPPED and not (self.tag == "header" and self.within({"article"})):
             return True
         a = self.attributes
         if not a or self.tag in _KEPT:
@@ -128,8 +148,8 @@ def parse(page: str) -> Element:
         if start == n:
             break
         if page.startswith("<!--", start):
-            end = page.find("-->", start + 4)
-            i = n if end < 0 else end + 3
+            m = _COMMENT_END.search(page, start + 2)  # an empty one may end with its own hyphens
+            i = m.end() if m else n
             continue
         if page.startswith("<![CDATA[", start):
             end = page.find("]]>", start)
@@ -210,10 +230,25 @@ def prune(root: Element) -> None:
         e = e.parent
     for e in left:
         if e is not root and id(e) not in around and e.named():
+            # what prose names in an article is a part of it
+            if e.within({"article"} if core is not None and core.tag == "article" else {"main"}) and not e.named(within=True) and _prose(e):
+                continue
             beside = core is not None and (4 * core.size >= e.size or bool(_TALK.search(e.names())))
             e.pruned = beside or 2 * e.size <= root.size
 
 
+def _prose(e: Element) -> bool:
+    """Whether an element has text outside links, of some length."""
+    size, stack = 0, [e]
+    while stack and size < _PROSE:
+        for child in stack.pop().children:
+            if isinstance(child, str):
+                size += len(child.strip())
+            elif not child.pruned and child.tag != "a":
+                stack.append(child)
+    return size >= _PROSE
+
+
 def _walk(root: Element) -> Iterator[tuple[Element | str, bool, bool]]:
     """Texts and elements left, in page order: each element before and after its content."""
     stack: list[tuple[Element | str, bool, bool]] = [(root, True, False)]
@@ -289,6 +324,21 @@ def _density(e: Element) -> float:
     return e.linked / e.letters if e.letters else 0.0
 
 
+def _is_in(e: Element | None, other: Element) -> bool:
+    while e is not None and e is not other:
+        e = e.parent
+    return e is other
+
+
+def _headline(found: list[tuple[Element, str, int]], best: Element) -> set[int]:
+    """The last h1 before an article, if it has none itself."""
+    places = [i for i, (holder, _, _) in enumerate(found) if _is_in(holder, best)]
+    heads = [i for i, (holder, _, _) in enumerate(found) if holder.tag == "h1"]
+    if not places or any(_is_in(found[i][0], best) for i in heads):
+        return set()
+    return {id(found[i][0]) for i in [i for i in heads if i < places[0]][-1:]}
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, one to a line; empty if there is none."""
     root = parse(page or "")
@@ -305,7 +355,12 @@ def main_text(page: str | None) -> str:
         while e is not None and e.tag not in ("article", "main"):
             e = e.parent
         best = e or best
+    e = best
+    while best.tag == "article" and e is not None:
+        best, e = (e, None) if e.tag == "main" else (best, e.parent)
     chosen, path_up = {id(best)}, set()
+    if best.tag in ("article", "main"):
+        chosen |= _headline(found, best)
     if best.tag not in _KEPT:
         least = max(2.0, 0.2 * own[id(best)])
         e = best
