@@ -26,7 +26,7 @@ from larkbeam.llm.batches import map_batches, per_worker
 from larkbeam.llm.spans import SHORT, mixed, slices, span_hashes, spans
 
 #: Words in a worker's table, and pairs, before it is emptied: bounds its memory.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 800_000
 
 #: Words that take their steps together.
 WORDS = 10_000
@@ -126,7 +126,7 @@ class BacktrackingBpe:
             self._shorter[i] = next((self._ids[s] for s in starts if s in self._ids), -1)
             self._matches.add_word(spelled, (i, len(spelled) - 1))
         self._matches.make_automaton()
-        self._pairs = IdTable(TABLE_ENTRIES // 2)
+        self._pairs = IdTable(TABLE_ENTRIES // 4)
 
     def _is_base(self, token: str) -> bool:
         return len(token.removesuffix(self.suffix) if self.suffix else token) == 1
@@ -256,13 +256,6 @@ def _byte_characters() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def _byte_characters() -> dict[str, int]:
-    """The character that stands for each byte: itself if it can be seen, else one from 256 on."""
-    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(seen)]
-    return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class Encoder:
     """Whole texts to ids and back, for a tokenizer file with byte characters.
 
@@ -307,7 +300,7 @@ class Encoder:
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         known = self._words
-        if len(known) > TABLE_ENTRIES // 6:
+        if len(known) > TABLE_ENTRIES // 2:
             known.clear()
         words = [self._words_of(c) for c in chunks]
         new = {w for own in words for w in own if w not in known}
@@ -326,7 +319,7 @@ class Encoder:
         """All ids of the text, and the starts of its words with their numbers of ids."""
         table, array = self._table, np.frombuffer(data, np.uint8)
         starts, ends = spans(array)
-        if table.n + len(starts) > table.entries:
+        if table.n + len(starts) > table.entries or table.used > 4 * table.entries:
             table.clear()
         short = ends - starts <= SHORT
         keys = span_hashes(array, starts, ends) | np.uint64(1)
