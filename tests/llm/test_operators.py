@@ -384,6 +384,24 @@ PAGES |= {
 }
 
 
+PAGES |= {
+    f"<body><article><header><h1>T</h1><p>By A.</p></header>{WHOLE}</article>": f"T\nBy A.\n{WHOLE_TEXT}",
+    f"<body><header><h1>Site</h1></header><article>{WHOLE}</article>": WHOLE_TEXT,
+    f"<article>{WHOLE}<h2 id='discussion'>Discussion</h2><p>More of it, at last.</p></article>": f"{WHOLE_TEXT}\nDiscussion\nMore of it, at last.",
+    f"<article>{WHOLE}<section class='search'><h2>Search</h2><p>How an engine searches for words, and why.</p></section></article>":
+        f"{WHOLE_TEXT}\nSearch\nHow an engine searches for words, and why.",
+    f"<article>{WHOLE}<div class='legal'><p>The law says, in short, what it has always said.</p></div></article>":
+        f"{WHOLE_TEXT}\nThe law says, in short, what it has always said.",
+    f"<article>{WHOLE}<div class='search'><a href=x>All the results, of this search, of this page</a></div></article>": WHOLE_TEXT,
+    f"<article>{WHOLE}<div class='newsletter'><p>Get our letter each week, by mail, free of charge, for ever.</p></div></article>": WHOLE_TEXT,
+    f"<article>{WHOLE}<fieldset><p>Boxed, but text.</p></fieldset></article>": f"{WHOLE_TEXT}\nBoxed, but text.",
+    f"<main><article><h2>One</h2>{WHOLE}</article><article><h2>Two</h2><p>Another.</p></article></main>": f"One\n{WHOLE_TEXT}\nTwo\nAnother.",
+    f"<body><div><h1>T</h1></div><article>{WHOLE}</article>": f"T\n{WHOLE_TEXT}",
+    f"<body><h1>Not</h1><article><h1>T</h1>{WHOLE}</article>": f"T\n{WHOLE_TEXT}",
+    f"<!--><article>{WHOLE}<!---><!-- x --!><!----></article>": WHOLE_TEXT,
+}
+
+
 @pytest.mark.parametrize("page", list(PAGES))
 def test_main_text(page):
     assert html_text.main_text(page) == PAGES[page]
@@ -413,12 +431,42 @@ def test_counts_follow_edits(texts):
         for _ in range(20):
             at = rnd.randint(0, len(text))
             end = min(len(text), at + rnd.choice([0, 1, 3, 50, 600]))
-            new = rnd.choice(["", " ", "a", "\n", " foo bar", "!!x" * 40, "it's 12 ", "  \n", "é"])
+            new = rnd.choice(["", " ", "a", "\n", " foo bar", "!!x" * 40, "it's 12 ", "  \n", "é", "'", "'ll", "漢字，", "x'y'z" * 60, "1a!" * 99])
             own.edit(at, end, new)
             text = text[:at] + new + text[end:]
             assert own.text() == text and own.tokens == count(text) and own.length == len(text)
 
 
+def test_edits_encode_little_in_every_script():
+    count = edit_counts.counter(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rnd = random.Random(8)
+    chinese = "".join("，。" [rnd.random() < 0.3] if rnd.random() < 0.08 else chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(9000))
+    russian = " ".join("".join(chr(rnd.randrange(0x430, 0x450)) for _ in range(rnd.randint(2, 9))) for _ in range(1500))
+    for text in (chinese, russian, "word it's 12 " * 700, russian + "\n\n" + chinese):
+        own = edit_counts.CountedText(text, count)
+        for _ in range(8):
+            at = rnd.randrange(len(text))
+            own.edit(at, at + 5, "新的x")
+            text = text[:at] + "新的x" + text[at + 5 :]
+        assert own.text() == text and own.tokens == count(text)
+        assert own.encoded - own.at_first < 0.05 * len(text)
+
+
+def test_tree_grows_with_a_long_insert():
+    count = edit_counts.counter(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rnd = random.Random(9)
+    own = edit_counts.CountedText("a short text", count)
+    new = "many words, it's so long " * 3200
+    own.edit(7, 7, new)
+    text = "a short" + new + " text"
+    for _ in range(8):
+        at = rnd.randrange(len(text))
+        own.edit(at, at + 1, "é")
+        text = text[:at] + "é" + text[at + 1 :]
+    assert own.text() == text and own.tokens == count(text)
+    assert own.encoded - own.at_first < 1.1 * len(text)
+
+
 def test_edited_counts_on_odd_rows(spark):
     kind = "doc_id long, text string, edits array<struct<start: int, stop: int, new: string>>"
     rows = [(1, None, [(0, 9, "new text")]), (None, "abc", None), (2, "abc def", [(None, None, None), (99, 120, " end"), (5, 2, "x")])]
@@ -451,3 +499,59 @@ def test_search_on_odd_rows(spark):
             want[q] += [(k + 1, i, -s) for k, (s, i) in enumerate(scored[:4])]
     assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
     assert vector_search.top_k(df.limit(0), "true").count() == 0
+
+
+def best_of(rows, k):
+    """Ids divisible by 10 against all others, in whole numbers of any size."""
+    cut = [(i, [int(np.floor(1024 * np.float64(x))) for x in v]) for i, v in rows]
+    want = {}
+    for n, (q, v) in enumerate(cut):
+        if q % 10 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(cut) if m != n)
+            want[q] = [(j + 1, i, -s) for j, (s, i) in enumerate(scored[:k])]
+    return want
+
+
+@pytest.mark.parametrize("largest", [262_144.0, 300_000.0, 1e-9, 3e3])
+def test_search_with_large_components(spark, largest):
+    rnd = random.Random(11)
+    rows = [(i, [rnd.choice([-largest, largest]) for _ in range(64)]) for i in range(40)]
+    rows += [(50, [rnd.random() for _ in range(64)]), (61, [rnd.random() * largest for _ in range(64)]), (70, [0.0] * 64)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in vector_search.top_k(df, "vec_id % 10 = 0", k=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert got == best_of(rows, 3)
+
+
+def test_search_with_components_of_all_sizes(spark):
+    rnd = random.Random(12)
+    rows = [(10 * i, [0.0, rnd.uniform(-2, 2), 10.0 ** rnd.randint(-3, 3)]) for i in range(6)]
+    rows += [(10 * i + 1, [rnd.uniform(-1, 1) * 10.0 ** rnd.randint(-30, 300), rnd.uniform(-9, 9), rnd.uniform(-9, 9)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in vector_search.top_k(df, "vec_id % 10 = 0", k=5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert got == best_of(rows, 5)
+
+
+def test_search_raises_if_a_long_cannot_hold_a_score(spark):
+    df = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1e9, 1.0]), (3, [-1e9, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit into a long"):
+        vector_search.top_k(df, "vec_id = 0", k=1).collect()
+    few = vector_search.top_k(df.where("vec_id != 3").union(df.where("vec_id = 3").replace(3, 0, ["vec_id"])).where("vec_id = 3"), "true")
+    assert few.count() == 0
+
+
+def test_bounds_hold():
+    rnd = np.random.default_rng(3)
+    for size in (1e-3, 1.0, 1e6, 1e150):
+        v = np.floor(rnd.normal(size=(200, 16)) * size * rnd.choice([1, 1e3], (200, 1)))
+        q = np.floor(rnd.normal(size=(20, 16)) * size)
+        low, high = v.min(0), v.max(0)
+        width = np.maximum(high / 256 - low / 256, 1e-16)
+        least, most = vector_search.bounds(q, vector_search.cells_of(v, low, width), low, width)
+        for i, a in enumerate(q):
+            for j, b in enumerate(v):
+                exact = sum(int(x) * int(y) for x, y in zip(a, b))
+                assert least[i, j] <= exact <= most[i, j]
