@@ -130,10 +130,18 @@ def undecided(
     """Ranges of the starts to look at further.
 
     Those near kept places, but for those that all repeat because of ``equal`` ones.
-    Of these, the ones near the first place of a name stay, as others may equal them.
+    Of these, some stay, as others may equal them: those from which the next equal place
+    is in ``heads``, the first of its name. If it is not, the head has the same start at
+    the same distance from it, and perhaps a nearer equal place; as distances only fall, one text in the end has it as a head.
     """
-    near, all_equal, first = (reachable(x, cover[0], size, length) for x in (kept, equal, heads))
-    return without(*near, *without(*all_equal, *first))
+    v = cover[0]
+    near, all_equal = (reachable(x, v, size, length) for x in (kept, equal))
+    equal, heads = np.unique(equal), np.unique(heads)
+    before = np.concatenate([[-1], equal])[np.searchsorted(equal, heads)]
+    first, last = np.maximum(heads - v, before) + 1, np.minimum(heads, size - length)
+    first = np.maximum(first, 0)
+    real = last >= first
+    return without(*near, *without(*all_equal, *joined(first[real], last[real])))
 
 
 # --- names of tuples, and which of them are there more than once
