@@ -110,3 +110,20 @@ def cube_sets(dims: Sequence[str]) -> list[list[str]]:
         [d for i, d in enumerate(dims) if not mask >> (len(dims) - 1 - i) & 1]
         for mask in range(2 ** len(dims))
     ]
+
+
+def distinct_counts(df: DataFrame, keys: Sequence[str], counted: Mapping[str, str], rows: str | None = None) -> DataFrame:
+    """How many different values each column of ``counted`` has in each group, nulls left out; ``rows`` names a count of rows.
+
+    Several distinct counts in one aggregation make Spark copy every row once for each. Here each column is
+    read and made distinct alone, and only one row a group of each is joined.
+    """
+    out = df.groupBy(*keys).agg(F.count("*").alias(rows or "_rows"))
+    for name, column in counted.items():
+        own = df.where(F.col(column).isNotNull()).select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col(column).alias("_value"))
+        found = own.distinct().groupBy(*[f"_of_{k}" for k in keys]).agg(F.count("*").alias("_found"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+        out = out.join(found, same, "left").withColumn(name, F.coalesce("_found", F.lit(0))).drop("_found", *[f"_of_{k}" for k in keys])
+    return out if rows else out.drop("_rows")

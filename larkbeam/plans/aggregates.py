@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkbeam.functions.money import hundredths, revenue, total
 from larkbeam.operators.aggregates import (
     cube_sets,
+    distinct_counts,
     grouping_sets,
     latest,
     most_frequent,
@@ -128,16 +129,8 @@ def sales_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
     """,
 )
 def distinct_keys(spark: SparkSession, d: str) -> DataFrame:
-    return (
-        table(spark, d, "lineitem")
-        .groupBy("l_returnflag")
-        .agg(
-            F.countDistinct("l_orderkey").alias("n_orders"),
-            F.countDistinct("l_partkey").alias("n_parts"),
-            F.countDistinct("l_suppkey").alias("n_suppliers"),
-            F.count("*").alias("n_lines"),
-        )
-    )
+    counted = {"n_orders": "l_orderkey", "n_parts": "l_partkey", "n_suppliers": "l_suppkey"}
+    return distinct_counts(table(spark, d, "lineitem"), ["l_returnflag"], counted, "n_lines")
 
 
 @query(

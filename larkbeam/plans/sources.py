@@ -31,10 +31,35 @@ def customers_from_xml(spark: SparkSession, d: str) -> DataFrame:
     return rewritten(table(spark, d, "customer"), "xml", name="customer_xml")
 
 
-@query("source_orc", "SELECT vec_id, label, len(embedding) AS n FROM embeddings")
+_DOCUMENTS = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+
+
+@query("source_csv_text", _DOCUMENTS)
+def documents_from_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with line breaks, quotes and padding through CSV."""
+    return rewritten(table(spark, d, "documents"), "csv", name="documents_csv")
+
+
+@query("source_xml_text", "SELECT page_id, url, html FROM pages")
+def pages_from_xml(spark: SparkSession, d: str) -> DataFrame:
+    """Pages, which are markup themselves, through XML."""
+    return rewritten(table(spark, d, "pages"), "xml", name="pages_xml")
+
+
+@query(
+    "source_orc",
+    """
+    SELECT vec_id, label, len(embedding) AS n,
+      CAST(list_sum(list_transform(embedding, lambda x, i: i * CAST(floor(1048576 * CAST(x AS DOUBLE)) AS BIGINT))) AS BIGINT) AS digest
+    FROM embeddings
+    """,
+)
 def vectors_from_orc(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors through ORC, and a number that depends on every component and its place."""
     vectors = rewritten(table(spark, d, "embeddings"), "orc", name="embeddings_orc")
-    return vectors.select("vec_id", "label", F.size("embedding").cast("bigint").alias("n"))
+    placed = F.transform("embedding", lambda x, i: (i + 1) * F.floor(1048576 * x.cast("double")))
+    digest = F.aggregate(placed, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return vectors.select("vec_id", "label", F.size("embedding").cast("bigint").alias("n"), digest.alias("digest"))
 
 
 @query(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from larkbeam.operators import sets
 from larkbeam.operators.aggregates import (
     cube_sets,
+    distinct_counts,
     grouping_sets,
     latest,
     most_frequent,
@@ -112,3 +113,12 @@ def test_percentiles_keep_groups_without_values(spark):
     for rows_per_group in (None, 1):
         got = percentiles(df, ["g"], "x", {"half": 0.5}, rows_per_group).collect()
         assert sorted((r.g, r.half) for r in got) == [("a", 2.0), ("b", None)]
+
+
+def test_distinct_counts(spark):
+    rows = [(0, 1, "a"), (0, 1, "b"), (0, None, "b"), (None, 2, None), (None, 2, "c"), (1, None, None)]
+    df = spark.createDataFrame(rows, "k int, x int, y string")
+    got = distinct_counts(df, ["k"], {"xs": "x", "ys": "y"}, "n")
+    assert sorted(map(tuple, got.collect()), key=repr) == [(0, 3, 1, 2), (1, 1, 0, 0), (None, 2, 1, 1)]
+    assert distinct_counts(df, [], {"xs": "x"}).collect() == [(2,)]
+    assert distinct_counts(df.limit(0), ["k"], {"xs": "x"}, "n").count() == 0

@@ -24,6 +24,17 @@ def test_formats_keep_values(spark, form):
     assert sorted(map(repr, rewritten(df, form).collect())) == sorted(map(repr, df.collect()))
 
 
+@pytest.mark.parametrize("form", ["csv", "json", "xml", "orc", "parquet"])
+def test_formats_keep_text(spark, form):
+    texts = [
+        None, "", " ", "  both  ", "line\nfeed", "a\r\nb\rc", "\ttab\t", 'q"uo""te', '"', "a,b", "\\", "\\\\", "\\n", "\\N", "N", "\\u000a", "\\\\u0000",
+        "x\0y\0\0", "\\\0", "\0\\u0000", "|", "||", "<row>", "</b>]]>&lt;&#10;", "<!-- c -->", "\x01\x1f\x7f\x85\u2028\ufffe", "é漢😀", "NaN", "null", "#x", "x" * 100_000,
+    ]
+    df = spark.createDataFrame([(i, t, str(i)) for i, t in enumerate(texts)], "i int, t string, last string")
+    got = {r.i: (r.t, r.last) for r in rewritten(df.repartition(2), form).collect()}
+    assert got == {i: (t, str(i)) for i, t in enumerate(texts)}
+
+
 def test_partitioned_tables_are_pruned(spark, small):
     path = scratch_path(spark, "partitioned")
     lines = table(spark, small, "lineitem")
