@@ -15,6 +15,7 @@ from larkbeam.operators.aggregates import (
     percentiles,
     rollup_sets,
 )
+from larkbeam.operators.frequent import frequent
 from larkbeam.plans.registry import query
 from larkbeam.plans.star import PRICE, REVENUE
 from larkbeam.sources.tables import table
@@ -350,3 +351,17 @@ def priorities_per_customer(spark: SparkSession, d: str) -> DataFrame:
 )
 def distinct_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority").distinct()
+
+
+@query(
+    "agg_frequent",
+    """
+    SELECT event_type, user_id, n, n_rows FROM (
+      SELECT event_type, user_id, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY event_type) AS BIGINT) AS n_rows
+      FROM events GROUP BY event_type, user_id)
+    WHERE 1000 * n > 8 * n_rows
+    """,
+)
+def frequent_users(spark: SparkSession, d: str) -> DataFrame:
+    """Users with more than 8 of 1,000 events of a type."""
+    return frequent(table(spark, d, "events"), ["event_type"], "user_id", (8, 1000))

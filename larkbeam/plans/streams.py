@@ -1,7 +1,8 @@
 """Streams over the event table, run until the table is used up.
 
 A stream appends a window once the watermark has passed its end, so the last
-windows of the table stay in state. The oracles leave these out too.
+windows of the table stay in state. The oracles leave these out too, but for the
+queries that add what is in state at the end.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 from larkbeam.functions.money import money
 from larkbeam.functions.times import utc_wall
 from larkbeam.plans.registry import query
-from larkbeam.session import setting
+from larkbeam.session import scratch_path, setting
 from larkbeam.sources.tables import table
-from larkbeam.streaming.jobs import drained, event_stream
+from larkbeam.streaming.jobs import drained, event_stream, left_open
 from larkbeam.streaming.totals import merge_shards, totals_per_window
 
 VALUE = "CAST(value AS DECIMAL(12,2))"
@@ -181,7 +182,8 @@ def errors_after_purchase(spark: SparkSession, d: str) -> DataFrame:
     """,
 )
 def totals_in_own_state(spark: SparkSession, d: str) -> DataFrame:
-    parts = totals_per_window(event_stream(spark, d), "event_type", "12 hours", "1 hour", shards=4)
+    shards = spark.sparkContext.defaultParallelism  # as many tasks as a single key may load
+    parts = totals_per_window(event_stream(spark, d), "event_type", "12 hours", "1 hour", shards)
     totals = merge_shards(drained(parts, "totals"), "event_type")
     return totals.select(
         "event_type",
@@ -191,3 +193,65 @@ def totals_in_own_state(spark: SparkSession, d: str) -> DataFrame:
         "top_cents",
         F.bit_count("hours").alias("busy_hours"),
     )
+
+
+@query(
+    "stream_tumbling_whole",
+    f"""
+    SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start,
+      count(*) AS n, CAST(sum({VALUE}) AS DOUBLE) AS total,
+      time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR > {_CLOSED} AS still_open
+    FROM events GROUP BY ALL
+    """,
+)
+def tumbling_with_open_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows that are over, as appended, and those still open, from the state of the stream."""
+    windows = (
+        event_stream(spark, d)
+        .withWatermark("ts", "1 hour")
+        .groupBy(F.window("ts", "6 hours"), "event_type")
+        .agg(F.count("*").alias("n"), F.sum(money("value")).alias("total"))
+    )
+    path = scratch_path(spark, "tumbling")
+    over = drained(windows, "tumbling", path).select("event_type", "window.start", "n", "total", F.lit(False).alias("still_open"))
+    held = left_open(spark, path).select(
+        "key.event_type", "key.window.start", F.col("value.count").alias("n"), F.col("value.sum").alias("total"), F.lit(True)
+    )
+    return over.union(held).select(
+        "event_type", utc_wall(F.col("start")).alias("window_start"), "n", F.col("total").cast("double").alias("total"), "still_open"
+    )
+
+
+@query(
+    "stream_sessions_whole",
+    f"""
+    WITH gaps AS (
+      SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
+    numbered AS (
+      SELECT *, sum(CASE WHEN gap < INTERVAL 6 HOUR THEN 0 ELSE 1 END)
+        OVER (PARTITION BY user_id ORDER BY ts) AS session_no FROM gaps)
+    SELECT user_id, min(ts) AS session_start, max(ts) AS last_event, count(*) AS n,
+      CAST(sum({VALUE}) AS DOUBLE) AS total, max(ts) + INTERVAL 6 HOUR > {_CLOSED} AS still_open
+    FROM numbered GROUP BY user_id, session_no
+    """,
+)
+def sessions_with_open_ones(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that are over, and those still open at the end of the table."""
+    windows = (
+        event_stream(spark, d)
+        .withWatermark("ts", "1 hour")
+        .groupBy("user_id", F.session_window("ts", "6 hours"))
+        .agg(F.count("*").alias("n"), F.sum(money("value")).alias("total"), F.max("ts").alias("last_event"))
+    )
+    path = scratch_path(spark, "sessions")
+    with setting(spark, "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"):
+        over = drained(windows, "sessions", path)
+    over = over.select("user_id", "session_window.start", "last_event", "n", "total", F.lit(False).alias("still_open"))
+    held = left_open(spark, path).select(
+        "value.user_id", "value.session_window.start", F.col("value.max").alias("last_event"),
+        F.col("value.count").alias("n"), F.col("value.sum").alias("total"), F.lit(True),
+    )
+    return over.union(held).select(
+        "user_id", utc_wall(F.col("start")).alias("session_start"), utc_wall(F.col("last_event")).alias("last_event"),
+        "n", F.col("total").cast("double").alias("total"), "still_open",
+    )

@@ -69,3 +69,14 @@ def drained(
     if dropped and late != "drop":
         raise LateRows(f"{dropped} rows came after the watermark")
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def left_open(spark: SparkSession, path: str) -> DataFrame:
+    """What an aggregation that ran to ``path`` still holds: ``key`` and ``value`` of each group that is not over.
+
+    A run ends with groups whose window the watermark has not passed, which it cannot
+    append: further rows may come. Their state is read as a table, each in the partition that keeps it, and
+    left as it is, so a later run goes on from there. ``value`` has the parts of the aggregates, such as
+    ``count``, and ``sum``.
+    """
+    return spark.read.format("statestore").load(f"{path}/state").select("key", "value")

@@ -10,7 +10,7 @@ from check import connect, difference
 from larkbeam.plans import all_queries
 from larkbeam.session import scratch_path, setting
 from larkbeam.sources.tables import SCHEMAS
-from larkbeam.streaming.jobs import LateRows, drained, event_stream
+from larkbeam.streaming.jobs import LateRows, drained, event_stream, left_open
 from larkbeam.streaming.totals import merge_shards, totals_per_window
 
 START = dt.datetime(2024, 3, 1)
@@ -82,6 +82,25 @@ def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
     assert run() == [1, 2]
 
 
+def test_open_windows_are_given_out_and_go_on(spark, tmp_path):
+    folder = deliver(spark, tmp_path / "b", [(10, 1, "view", 1.0), (70, 1, "view", 2.0)], [(75, 1, "view", 4.0), (300, 1, "view", 8.0)])
+    held_back = tmp_path / "b/events.parquet/part-1.parquet"
+    later = held_back.read_bytes()
+    held_back.unlink()
+    path = scratch_path(spark, "open")
+
+    def run():
+        stream = event_stream(spark, folder).withWatermark("ts", "5 minutes")
+        over = drained(stream.groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n")), "open", path)
+        held = left_open(spark, path).select("key.window", F.col("value.count").alias("n"))
+        return [sorted(r.n for r in df.collect()) for df in (over, held)]
+
+    assert run() == [[1], [1]]
+    assert run() == [[1], [1]]
+    held_back.write_bytes(later)
+    assert run() == [[1, 2], [1]]
+
+
 def test_own_state_over_batches_and_shards(spark, tmp_path):
     folder = deliver(
         spark,
