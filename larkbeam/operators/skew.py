@@ -10,11 +10,9 @@ each small enough for a task.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,18 +21,15 @@ from larkbeam.functions.times import wall_micros
 from larkbeam.sources.files import rewritten
 
 ROWS_PER_GROUP = 5_000_000
-MAX_HOT_GROUPS = 100_000
-MAX_SEGMENTS = 10_000
 
 _LOWEST = -math.inf
-_EXACT_IN_DOUBLE = 2**53
 
 
 @dataclass(frozen=True)
 class HotGroups:
     """The groups over the limit.
 
-    ``keys`` has one row per hot group, at most ``MAX_HOT_GROUPS``; None means
+    ``keys`` has one row per hot group, so at most the rows of the table by ``rows_per_group``; None means
     that all groups are hot. ``rows`` is how many rows they have together, and
     ``largest`` how many the largest one has.
     """
@@ -52,7 +47,7 @@ class HotGroups:
 
 
 def _pieces(rows: int, rows_per_piece: int) -> int:
-    return max(2, min(MAX_SEGMENTS, math.ceil(rows / rows_per_piece)))
+    return max(2, math.ceil(rows / rows_per_piece))
 
 
 def hot_groups(
@@ -65,8 +60,8 @@ def hot_groups(
     the table is larger than one group may be. Without ``keys`` the whole table
     is the group.
 
-    The limit rises with the table where that is needed to leave at most
-    ``MAX_HOT_GROUPS`` groups above it, so the result may always be broadcast.
+    A table of n rows has fewer than n / ``rows_per_group`` such groups: 200,000 for 10^12 rows and the
+    number set here, so the result may be broadcast.
     """
     rows_per_group = rows_per_group or _default_rows(df)
     total = df.count()
@@ -74,8 +69,7 @@ def hot_groups(
         return None
     if not keys:
         return HotGroups(None, total, total, rows_per_group)
-    limit = max(rows_per_group, total // MAX_HOT_GROUPS)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > limit)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > rows_per_group)
     # a small table, written so that the rows are counted only once
     sizes = rewritten(sizes, name="hot")
     rows, largest = sizes.agg(F.sum("_size"), F.max("_size")).first()
@@ -132,32 +126,17 @@ def ordering(order: Sequence[str]) -> list[Column]:
 
 
 def segmented(df: DataFrame, order: Sequence[str], hot: HotGroups) -> DataFrame:
-    """Rows of hot groups with ``_seg``, which rises with the order.
+    """Rows of hot groups, written with ``_seg``, which rises with the order, and ``_place``, their place in it.
 
-    The cuts are quantiles of the first ordering column over all the rows, so
-    no segment has much more than ``rows_per_group`` of them. A value so
-    frequent that it fills a segment alone is cut again by the second ordering
-    column. Both columns must be numbers, dates or times.
+    The cuts are those of Spark's range partitioner, from a sample of all the rows, so no
+    segment has much more than ``rows_per_group`` of them, but for rows that are equal in all of ``order``. Columns may
+    be of any type that sorts, in either direction.
     """
-    first = order[0].lstrip("-")
-    segments = hot.segments()
-    placed = df.withColumn("_at", as_number(df, first))
-    splits, weights = _cuts(placed, "_at", segments)
-    placed, segment = _bucket(placed, "_at", splits, order[0].startswith("-"))
-    if len(order) > 1 and weights and _equal_if_same_number(df, first):
-        second = order[1].lstrip("-")
-        by_bucket = F.lit([weights.get(split, 0) for split in splits])
-        weight = by_bucket[F.col("_bucket_at").cast("int")]
-        placed = placed.withColumn("_weight", weight).withColumn("_then", as_number(df, second))
-        in_tie = F.col("_weight") > 0
-        then_splits, _ = _cuts(placed.where(in_tie), "_then", segments)
-        placed, then = _bucket(placed, "_then", then_splits, order[1].startswith("-"))
-        # as many parts as the value fills segments, so their number stays in proportion
-        part = F.floor(then * F.col("_weight") / len(then_splits))
-        segment = segment * (segments + 1) + F.when(in_tie, part).otherwise(0)
-    return placed.withColumn("_seg", segment).drop(
-        "_at", "_bucket_at", "_weight", "_then", "_bucket_then"
-    )
+    by = ordering(order)
+    dealt = df.repartitionByRange(hot.segments(), *by).sortWithinPartitions(*by)
+    # numbers of partitions and rows hold once they are written
+    placed = dealt.withColumns({"_seg": F.spark_partition_id().cast("bigint"), "_place": F.monotonically_increasing_id()})
+    return rewritten(placed, name="segments")
 
 
 def as_number(df: DataFrame, name: str) -> Column:
@@ -174,30 +153,3 @@ def as_number(df: DataFrame, name: str) -> Column:
     else:
         raise TypeError(f"cannot cut along {name}: {kind.simpleString()}")
     return F.coalesce(number.cast("double") + F.lit(0.0), F.lit(_LOWEST))
-
-
-def _equal_if_same_number(df: DataFrame, name: str) -> bool:
-    return not isinstance(df.schema[name].dataType, T.DecimalType)
-
-
-def _cuts(df: DataFrame, name: str, pieces: int) -> tuple[list[float], dict[float, int]]:
-    """Split points, and the values that fill pieces alone, with how many they fill."""
-    shares = [i / pieces for i in range(1, pieces)]
-    quantiles = df.stat.approxQuantile(name, shares, 1 / (4 * pieces))
-    found = Counter(q for q in quantiles if math.isfinite(q))
-    tied = {q: n for q, n in found.items() if n > 1 and abs(q) < _EXACT_IN_DOUBLE}
-    inner = sorted({*found, *(math.nextafter(q, math.inf) for q in tied)})
-    return [-math.inf, *inner, math.inf], tied
-
-
-def _bucket(
-    df: DataFrame, name: str, splits: list[float], descending: bool
-) -> tuple[DataFrame, Column]:
-    """``df`` with a bucket column, and the bucket's position in the order."""
-    out = f"_bucket{name}"
-    if len(splits) < 3:
-        return df.withColumn(out, F.lit(0)), F.lit(0).cast("bigint")
-    # rows that are not a number get one more bucket, after the others
-    bucketizer = Bucketizer(splits=splits, inputCol=name, outputCol=out, handleInvalid="keep")
-    position = F.col(out).cast("bigint")
-    return bucketizer.transform(df), len(splits) - 1 - position if descending else position

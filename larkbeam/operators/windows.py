@@ -10,6 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkbeam.operators.skew import HotGroups, apart, ordering, segmented
 
@@ -60,7 +61,7 @@ def _running_in_pieces(
     inputs = {f"_in_{name}": value for name, (_, value) in columns.items()}
     kinds = {f"_in_{name}": kind for name, (kind, _) in columns.items()}
     cut = segmented(df.withColumns(inputs), order, hot)
-    starts = _segment_starts(cut, keys, order, kinds)
+    starts = _segment_starts(cut, keys, kinds)
     # the total of a group comes with the start of each segment
     blank = {
         name: F.lit(None).cast(cut.schema[name].dataType)
@@ -69,7 +70,7 @@ def _running_in_pieces(
     }
     rows = cut.withColumns(blank).withColumn("_carried", F.lit(1))
     piece = Window.partitionBy(*keys, "_seg")
-    upto = piece.orderBy("_carried", *ordering(order))
+    upto = piece.orderBy("_carried", "_place")
     by_input = {name: (kind, F.col(f"_in_{name}")) for name, (kind, _) in columns.items()}
     joined = rows.unionByName(starts, allowMissingColumns=True)
     results = _aggregates(by_input, upto, upto)
@@ -77,9 +78,9 @@ def _running_in_pieces(
     plain = [_COMBINE[kind](value).alias(name) for name, (kind, value) in columns.items()]
     types = df.select(*plain).schema
     done = joined.select("*", *results).withColumns(
-        {field.name: F.col(field.name).cast(field.dataType) for field in types}
+        {f.name: F.col(f.name).cast(f.dataType) for f in types if isinstance(f.dataType, T.AtomicType)}
     )
-    return done.where(F.col("_carried") == 1).drop("_carried", "_seg", *inputs)
+    return done.where(F.col("_carried") == 1).drop("_carried", "_seg", "_place", *inputs)
 
 
 def _aggregates(
@@ -92,21 +93,16 @@ def _aggregates(
     ]
 
 
-def _segment_starts(
-    cut: DataFrame, keys: Sequence[str], order: Sequence[str], kinds: Mapping[str, str]
-) -> DataFrame:
+def _segment_starts(cut: DataFrame, keys: Sequence[str], kinds: Mapping[str, str]) -> DataFrame:
     """For each segment, the aggregates of the segments before it.
 
-    A group has a few times ``MAX_SEGMENTS`` segments at most, so the window
+    A group has at most as many rows here as there are segments, so the window
     over them is small.
     """
-    latest = F.struct(*[F.col(o) for o in order if not o.startswith("-")])
-    if "last" in kinds.values() and any(o.startswith("-") for o in order):
-        raise ValueError("a running last needs an ascending order")
 
     def summary(name: str, kind: str) -> Column:
         if kind == "last":
-            return F.max_by(name, F.when(F.col(name).isNotNull(), latest)).alias(name)
+            return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("_place"))).alias(name)
         return _COMBINE[kind](F.col(name)).alias(name)
 
     segments = (
@@ -204,9 +200,7 @@ def framed(
         window = Window.partitionBy(*keys).orderBy(*ordering(order))
         return df.withColumns(dict(build(window)))
     cold, rows, hot = apart(df, keys, hot)
-    size = hot.rows_per_group
-    if max(before, after) > size:
-        raise ValueError(f"a frame may reach at most {size} rows")
+    size = max(hot.rows_per_group, before, after)  # so that frames reach the next block at most
     numbered = row_numbers(rows, keys, order, "_rn", hot)
     offset = (F.col("_rn") - 1) % size
     block = F.floor((F.col("_rn") - 1) / size)

@@ -1,6 +1,7 @@
 """Random small tables: pieces and plain windows must agree whatever the data."""
 
 import datetime as dt
+from decimal import Decimal
 
 from hypothesis import HealthCheck, example, given, settings
 from hypothesis import strategies as st
@@ -48,6 +49,29 @@ def test_windows(spark, rows, descending, limit):
     assert bag(framed(df, ["g"], order, 1, 1, build, hot)) == bag(framed(df, ["g"], order, 1, 1, build))
 
 
+WORDS = st.one_of(st.none(), st.sampled_from(["", "a", "B", "b", "é", "漢", "aa"]))
+AMOUNTS = st.one_of(st.none(), st.integers(-(10**29), 10**29).map(lambda n: Decimal(n).scaleb(-4)), st.sampled_from([Decimal("0.0001"), Decimal(2**53), Decimal(2**53 + 1)]))
+
+
+@FEW
+@given(
+    rows=st.lists(st.tuples(st.sampled_from([0, 0, 0, 1, None]), WORDS, AMOUNTS), min_size=1, max_size=40),
+    order=st.sampled_from([["w", "row"], ["-w", "-row"], ["a", "row"], ["-a", "row"], ["w", "-a", "row"]]),
+    limit=st.integers(1, 9),
+)
+def test_pieces_in_any_order(spark, rows, order, limit):
+    numbered = [(i, *r, None if i % 3 else i) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(numbered, "row bigint, g int, w string, a decimal(38,4), v int").repartition(3).cache()
+    hot = hot_groups(df, ["g"], limit)
+    columns = {"s": ("sum", F.col("v")), "lately": ("last", F.col("v")), "low": ("min", F.col("w")), "all": ("total", F.col("v"))}
+    assert bag(running(df, ["g"], order, columns, hot)) == bag(running(df, ["g"], order, columns))
+
+    def build(w):
+        return {"far": F.sum("v").over(w.rowsBetween(-12, 3)), "next": F.lead("row", 2).over(w)}
+
+    assert bag(framed(df, ["g"], order, 12, 3, build, hot)) == bag(framed(df, ["g"], order, 12, 3, build))
+
+
 @FEW
 @given(rows=ROWS, limit=st.integers(1, 9))
 def test_ranks(spark, rows, limit):
