@@ -324,7 +324,7 @@ def seek_table(df: DataFrame, keep: list[str], media: str) -> DataFrame:
 def round_trip(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """Stores every text as a file in a table, reads the table, and digests what was read.
 
-    Null and empty texts are 64 zero bytes. Repeated rows give equal rows, and an
+    ``samples`` by ``rate`` is the exact duration in seconds, ``offsets`` where each frame begins. Null and empty texts are 64 zero bytes. Repeated rows give equal rows, and an
     empty table an empty one.
     """
     table = rewritten(stored(df, keep, text), name="media")
@@ -335,10 +335,13 @@ def round_trip(df: DataFrame, keep: list[str], text: str) -> DataFrame:
             payload = audio.payload()
             return (
                 len(payload), hashlib.sha256(payload).hexdigest(), binascii.crc32(payload[-_UNIT:]),
-                len(media), hashlib.sha256(media).hexdigest(), features(audio),
+                len(media), hashlib.sha256(media).hexdigest(), features(audio), audio.samples, audio.rate, audio.offsets,
             )
 
         return lambda files: [digest(f) for f in files]
 
-    added = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    added = (
+        "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+        "samples long, rate int, offsets array<long>"
+    )
     return map_batches(table, [*keep, "n_bytes"], "media", work, added)
