@@ -423,6 +423,23 @@ def test_html_of_any_shape():
     assert len(html_text.main_text("<p>" + "word " * 200000)) == 999999
 
 
+def test_seek_table_leads_to_every_frame(spark):
+    texts = ["", "a" * 5000, "some words " * 3000, None]
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id int, text string, samples int")
+    media = {r.doc_id: bytes(r.media) for r in mpeg_audio.stored(df, ["doc_id"], "text").collect()}
+    files = spark.createDataFrame([(i, bytearray(m)) for i, m in media.items()] + [(9, None)], "doc_id int, media binary")
+    rows = {r.doc_id: r for r in mpeg_audio.seek_table(files, ["doc_id"], "media").collect()}
+    trips = {r.doc_id: r for r in mpeg_audio.round_trip(df, ["doc_id"], "text").collect()}
+    assert rows[9].samples == 0 and rows[9].offsets == []
+    for i, data in media.items():
+        r = rows[i]
+        frames = [mpeg_audio.header(data[at : at + 4]) for at in r.offsets]
+        assert all(frames) and r.samples == sum(h.samples for h in frames) and r.rate == frames[0].rate
+        assert all(a + h.size == b for a, h, b in zip(r.offsets, frames, r.offsets[1:]))
+        assert mpeg_audio.read(data[r.offsets[-1] :]).samples == frames[-1].samples  # a reader may begin there
+        assert (trips[i].samples, trips[i].rate, trips[i].offsets) == (r.samples, r.rate, r.offsets)
+
+
 def test_counts_follow_edits(texts):
     count = edit_counts.counter(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rnd = random.Random(6)
