@@ -274,10 +274,11 @@ def third_page_of_parts(spark: SparkSession, d: str) -> DataFrame:
                CASE WHEN n.event_type = 'purchase' AND w.tried IS NOT NULL THEN n.event_id END
         FROM walk w JOIN numbered n ON n.user_id IS NOT DISTINCT FROM w.user_id AND n.rn = w.rn + 1
     )
-    SELECT user_id, nth, over_bought IS NOT NULL AS complete, over_seen AS seen, over_tried AS tried, over_bought AS bought
+    SELECT user_id, nth, over_bought IS NOT NULL AS complete, over_seen AS seen, coalesce(over_tried, -1) AS tried,
+           coalesce(over_bought, -1) AS bought
     FROM walk WHERE over_seen IS NOT NULL
     UNION ALL
-    SELECT user_id, nth + 1, false, seen, tried, NULL FROM walk w
+    SELECT user_id, nth + 1, false, seen, coalesce(tried, -1), -1 FROM walk w
     WHERE seen IS NOT NULL AND rn = (SELECT max(rn) FROM numbered n WHERE n.user_id IS NOT DISTINCT FROM w.user_id)
     """,
 )
@@ -285,4 +286,5 @@ def ways_to_a_purchase(spark: SparkSession, d: str) -> DataFrame:
     """Every attempt of a user to go from a view over a click to a purchase, which an error ends."""
     kind = F.col("event_type")
     steps = {"seen": kind == "view", "tried": kind == "click", "bought": kind == "purchase"}
-    return attempts(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], steps, "event_id", kind == "error")
+    found = attempts(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], steps, "event_id", kind == "error")
+    return found.fillna(-1, ["tried", "bought"])
