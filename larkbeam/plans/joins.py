@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkbeam.functions.money import money, revenue
 from larkbeam.functions.times import wall_micros
 from larkbeam.operators.joins import asof_join, range_join, salted_join, sum_in_range
-from larkbeam.operators.overlap import overlap_join
+from larkbeam.operators.overlap import overlap_join, overlap_summary
 from larkbeam.plans.registry import query
 from larkbeam.plans.star import REVENUE
 from larkbeam.sources.tables import table
@@ -258,7 +258,5 @@ def purchases_during_errors(spark: SparkSession, d: str) -> DataFrame:
     busy = table(spark, d, "events").where("value >= 1").select("event_id", "user_id", "event_type", "ts", until.alias("until"))
     errors = busy.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("ts").alias("s"), F.col("until").alias("e"))
     bought = busy.where("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").alias("t"), F.col("until").alias("f"))
-    pairs = overlap_join(errors, bought, [], "s", "e", "t", "f")
-    return pairs.groupBy("error_id").agg(
-        F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.max("event_id").alias("last_purchase")
-    )
+    last, users = {"last_purchase": "event_id"}, {"users": "user_id"}
+    return overlap_summary(errors, bought, "error_id", "s", "e", "t", "f", "n", users, last)
