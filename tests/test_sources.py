@@ -72,3 +72,13 @@ def test_scratch_lies_in_the_shared_folder(spark):
 def test_views(spark, small):
     register_views(spark, small)
     assert spark.sql("SELECT count(*) FROM nation JOIN region ON n_regionkey = r_regionkey").first()[0] == 25
+
+
+def test_folders_are_written_without_a_sort(spark):
+    rows = spark.range(20_000).select("id", (F.col("id") % 40).alias("part"))
+    path = scratch_path(spark, "unsorted")
+    write(rows, path, "parquet", ["part"])
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plan = runs.apply(runs.size() - 1).physicalPlanDescription()
+    assert "REBALANCE" in plan and "Sort" not in plan
+    assert read(spark, path, "parquet", "id bigint, part bigint").exceptAll(rows).isEmpty()
