@@ -1,9 +1,11 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from larkbeam.session import scratch_path, setting
+from larkbeam.sources import files
 from larkbeam.sources.files import bucket_count, bucketed, read, rewritten, write
 from larkbeam.sources.tables import register_views, table
 
@@ -74,6 +76,17 @@ def test_views(spark, small):
     assert spark.sql("SELECT count(*) FROM nation JOIN region ON n_regionkey = r_regionkey").first()[0] == 25
 
 
+def test_xml_is_cut_into_files_by_bytes(spark, monkeypatch):
+    """A file of XML is read by one task, so one task's rows must not all go into one."""
+    monkeypatch.setattr(files, "_FILE_BYTES", 100_000)
+    rows = spark.range(3000).select("id", F.repeat(F.lit("é"), 200).alias("t")).coalesce(1)
+    back = rewritten(rows, "xml")
+    sizes = [os.path.getsize(f.removeprefix("file:")) for f in back.inputFiles()]
+    assert len(sizes) > 10 and max(sizes) < 150_000
+    assert back.exceptAll(rows).isEmpty() and back.count() == 3000
+    assert rewritten(rows.limit(0), "xml").count() == 0
+
+
 def test_folders_are_written_without_a_sort(spark):
     rows = spark.range(20_000).select("id", (F.col("id") % 40).alias("part"))
     path = scratch_path(spark, "unsorted")
