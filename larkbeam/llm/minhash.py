@@ -27,7 +27,7 @@ from larkbeam.llm.batches import map_batches, per_worker
 from larkbeam.llm.components import components
 from larkbeam.llm.shingles import Circulant, band_hashes, shingle_sets
 from larkbeam.llm.spans import slices
-from larkbeam.operators.reduce import reduced_semi_join
+from larkbeam.operators.reduce import bloom, maybe_in, reduced_semi_join
 from larkbeam.sources.files import rewritten
 
 BANDS, ROWS = 40, 6
@@ -225,8 +225,9 @@ def near_duplicates(
     named = classes.where("first IS NOT NULL")
     entries = named.select("nid", "n", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("nid").alias("lead"), F.max("nid").alias("_last"))
-    shared = shared.where("lead < _last").select("bucket", "lead")
-    members = rewritten(entries.join(shared, "bucket"), name="members")
+    shared = rewritten(shared.where("lead < _last").select("bucket", "lead"), name="shared")
+    # most buckets hold one class, and those of others need no second shuffle
+    members = rewritten(maybe_in(entries, "bucket", bloom(shared, "bucket")).join(shared, "bucket"), name="members")
     pairs = rewritten(members.where("nid != lead").select("lead", "nid", "n").distinct(), name="pairs")
 
     candidates = members.select("nid").distinct().join(named.select("nid", "key", "first"), "nid")
@@ -235,7 +236,8 @@ def near_duplicates(
     # candidates grow with the corpus, so they are never broadcast; a filter of bounded size
     # keeps most other texts away from the shuffle
     texts = reduced_semi_join(source, candidates, "first", "first")
-    sets = _sets(texts, width).join(candidates.select("nid", "key"), "key").dropDuplicates(["nid"])
+    # a key has one class; dealt by key for this, sets are not shuffled again for the join
+    sets = _sets(texts, width).dropDuplicates(["key"]).join(candidates.select("nid", "key"), "key")
     sets = rewritten(sets.select("nid", "shingles"), name="sets")
 
     links = rewritten(_led(pairs, sets, percent), name="links")
