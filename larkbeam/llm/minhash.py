@@ -241,7 +241,8 @@ def near_duplicates(
     sets = rewritten(sets.select("nid", "shingles"), name="sets")
 
     links = rewritten(_led(pairs, sets, percent), name="links")
-    more = _crossing(members, components(links), sets, percent)
+    # written, as both directions of a link are read
+    more = rewritten(_crossing(members, components(links), sets, percent), name="crossing")
     labels = components(links.union(more))
     known = labels.withColumnRenamed("node", "nid").join(named.select("nid", "key", "first"), "nid")
     least = known.groupBy("label").agg(F.min("first").alias("component"))

@@ -186,8 +186,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose score is 0.5 or more, with all their columns."""
     known = _known(labels, "quality")
-    # statistics are worked out before the shuffle, of labelled texts and few others
-    model = train(document_statistics(maybe_in(docs, "doc_id", bloom(known, "doc_id"))), known)
+    # statistics are worked out before the shuffle, of labelled texts and few others; they are written, as a task that
+    # goes on to sum them up would hold two Python workers, which then stay beside all later stages
+    stats = document_statistics(maybe_in(docs, "doc_id", bloom(known, "doc_id")))
+    model = train(rewritten(stats, name="statistics"), known)
 
     def work() -> Callable[[list], Sequence[bool]]:
         def good(texts: list) -> np.ndarray:
